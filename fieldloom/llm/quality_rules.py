@@ -13,10 +13,12 @@ an empty result. Extra columns are kept by :func:`filter_quality`, whatever thei
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import SEPARATORS, let, table, words_of
+from fieldloom.llm.common import Scratch, let, table, words_of
 
 WINDOW = 5
 ROUNDS = 30
@@ -33,8 +35,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 def _repeat_words(w: Column) -> Column:
     """Words in windows of ``WINDOW`` words that the text has twice or more."""
-    at = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
     starts = F.sequence(F.lit(0), F.size(w) - WINDOW)
+    windows = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
 
     def count(hashes: Column) -> Column:
         def covered(s: Column) -> Column:
@@ -47,26 +49,27 @@ def _repeat_words(w: Column) -> Column:
         pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.sort_array(pairs), covered))
 
-    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(F.transform(starts, at), count))
+    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(windows, count))
 
 
 def measures(text: Column) -> Column:
     """A struct of what the rules look at; window equality is by 64-bit hash within one text."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    long = lambda c, name: c.cast("long").alias(name)
-    squeezed = F.regexp_replace(t, SEPARATORS, "")
-    by_words = let(words_of(text), lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    return F.struct(
-        by_words.alias("w"), by_lines.alias("l"), long(F.char_length(squeezed), "word_chars"), long(F.regexp_count(t, F.lit(r"[#*$%&|<>]")), "n_symbols"),
-        long(F.regexp_count(t, F.lit(r"\p{Lu}")), "n_upper"), long(F.regexp_count(t, F.lit("!")), "n_exclaim"),
-    )
+    by_words = let(words_of(text), lambda w: F.struct(
+        F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"), F.char_length(F.array_join(w, "")).alias("word_chars"),
+        F.size(F.filter(w, lambda x: (x == F.upper(x)) & (x != F.lower(x)))).alias("n_caps"),
+    ))
+    # a text without any of the symbols is settled by byte search, far below the price of a regular expression
+    some = lambda symbols: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in symbols])
+    count = lambda symbols, name: F.when(some(symbols), F.regexp_count(t, F.lit(f"[{symbols}]"))).otherwise(0).cast("long").alias(name)
+    return F.struct(by_words.alias("w"), by_lines.alias("l"), count("#*$%&|<>", "n_symbols"), count("!", "n_exclaim"))
 
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
     m = docs.select(*keep, measures(F.col("text")).alias("_m"))
-    return m.select(*keep, *[F.col(f"_m.{p}").cast("long").alias(n) for p, n in (("w.n_words", "n_words"), ("word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("l.n_dup_lines", "n_dup_lines"), ("w.n_repeat_words", "n_repeat_words"), ("l.n_lines", "n_lines"), ("n_upper", "n_upper"), ("n_exclaim", "n_exclaim"))])
+    return m.select(*keep, *[F.col(f"_m.{p}").cast("long").alias(n) for p, n in (("w.n_words", "n_words"), ("w.word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("l.n_dup_lines", "n_dup_lines"), ("w.n_repeat_words", "n_repeat_words"), ("l.n_lines", "n_lines"), ("w.n_caps", "n_caps"), ("n_exclaim", "n_exclaim"))])
 
 
 #: Rule -> (bad if, good if), of measures; neither: it abstains.
@@ -76,7 +79,7 @@ RULES = {
     "symbols": ("10 * n_symbols > n_words", "n_words > 0 AND 50 * n_symbols <= n_words"),
     "lines": ("n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines", "n_lines > 0 AND 20 * n_dup_lines <= n_lines"),
     "repeats": ("100 * n_repeat_words > 20 * n_words", "n_words > 0 AND 100 * n_repeat_words <= 5 * n_words"),
-    "case": ("2 * n_upper > word_chars", "word_chars > 0 AND 5 * n_upper < word_chars"),
+    "case": ("2 * n_caps > n_words", "5 * n_caps < n_words"),
     "exclaim": ("5 * n_exclaim > n_words", "n_words > 0 AND 20 * n_exclaim <= n_words"),
 }
 K = len(RULES)
@@ -132,17 +135,15 @@ def judge(voted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, votes, posterior and verdict of every document."""
-    from fieldloom.llm.common import Scratch
-
     m = Scratch(spark).save(measured(table(spark, sf_dir, "documents"), "doc_id").withColumn("votes", votes()), "measures")
     return judge(m).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes"), F.round("posterior", 9).alias("posterior"))
 
 
 def filter_quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rejected ones, all columns as they came. The verdict hangs on votes alone, so texts don't move: votes are recomputed and looked up."""
+    """``docs`` without the rejected ones, all columns as they came. Rows are written once beside their votes, so that texts are measured once."""
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    m = measured(row, "_row").withColumn("votes", votes())
-    counts = m.select("votes")
-    known = F.broadcast(posteriors(counts))
-    return m.join(known, "votes").filter(~F.expr(BASE_FAILED) & (F.col("posterior") >= threshold)).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
+    m = measured(rows, "_row").select("_row", votes().alias("votes"), F.expr(BASE_FAILED).alias("base"))
+    m = Scratch(docs.sparkSession).save(m, "voted")
+    known = F.broadcast(posteriors(m))  # at most 3**7 rows
+    return m.join(known, "votes").filter(~F.col("base") & (F.col("posterior") >= threshold)).select("_row.*")
