@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import mixing, quality_rules, sharding, simhash
+from fieldloom.llm import mixing, quality_rules, sharding, simhash, substring_index, suffix_array
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_suffix_array": suffix_array.op3_suffix_array,
+    "op5_substring_index": substring_index.op5_substring_index,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_simhash": simhash.op8_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL = {"op1_sharding": sharding.SQL}
+ORACLE_SQL = {"op1_sharding": sharding.SQL, "op3_suffix_array": suffix_array.SQL, "op5_substring_index": substring_index.SQL}
