@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import mixing, quality_rules, sharding, simhash, substring_index, suffix_array
+from fieldloom.llm import decontaminate, license_scan, mixing, quality_rules, sharding, simhash, substring_index, suffix_array, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_suffix_array": suffix_array.op3_suffix_array,
+    "op4_warc": warc.op4_warc,
     "op5_substring_index": substring_index.op5_substring_index,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_simhash": simhash.op8_simhash,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL = {"op1_sharding": sharding.SQL, "op3_suffix_array": suffix_array.SQL, "op5_substring_index": substring_index.SQL}
+#: SQL of those that it can express; the others draw coins, iterate or read mark-up, and tests hold them against brute force.
+ORACLE_SQL = {
+    "op1_sharding": sharding.SQL,
+    "op3_suffix_array": suffix_array.SQL,
+    "op5_substring_index": substring_index.SQL,
+    "op6_license_scan": license_scan.SQL,
+}
