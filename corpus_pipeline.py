@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm.common import Scratch, table
+from fieldloom.llm.decontaminate import drop_contaminated
 from fieldloom.llm.mixing import mix_documents
 from fieldloom.llm.quality_rules import filter_quality
 from fieldloom.llm.sharding import shard_documents
@@ -21,6 +22,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, as it is or with other slot values."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mix_documents(docs)
@@ -31,7 +37,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs).select("doc_id", "n_bytes", "shard_id", "depth", "overflow", "shard_bytes", "shard_docs")
 
 
-STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("mixing", mixing), ("sharding", sharding)]
+STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 #: The quality, near-dedup and mixing stages iterate or draw seeded coins, which SQL can't express; tests hold run() against brute force.
 ORACLE_SQL = None
 

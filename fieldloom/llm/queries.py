@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import decontaminate, license_scan, mixing, quality_rules, sharding, simhash, substring_index, suffix_array, warc
+from fieldloom.llm import crf_quality, decontaminate, license_scan, mixing, quality_rules, sharding, simhash, substring_index, suffix_array, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_crf_quality": crf_quality.op2_crf_quality,
     "op3_suffix_array": suffix_array.op3_suffix_array,
     "op4_warc": warc.op4_warc,
     "op5_substring_index": substring_index.op5_substring_index,
