@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import names
-from fieldloom.operators.stats import dominant_category, null_safe
+from fieldloom.operators.stats import dominant_category, join_keys
 
 
 def filter_types(df: DataFrame, column: str, wanted: str, valid: set[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def resurvey_weight(df: DataFrame, by: list[str], year: str) -> DataFrame:
 def flag_weight(df: DataFrame, by: list[str], flag: str) -> DataFrame:
     """Adds weight 1 / (resurveys of the group + 1) to flagged rows, 1 to others."""
     counts = df.groupBy(*by).agg(F.sum(F.col(flag).cast("int")).alias("_n"))
-    out = df.join(counts, null_safe(df, counts, by), "left").select(*[df[c] for c in df.columns], "_n")
+    out = join_keys(df, counts, by)
     return out.withColumn("weight", F.when(F.col(flag), 1.0 / (F.col("_n") + 1)).otherwise(F.lit(1.0))).drop("_n")
 
 
@@ -154,5 +154,5 @@ def holdout(df: DataFrame, of: Column, share: float, key: Column) -> DataFrame:
     from fieldloom.operators.stats import order_statistics
 
     keyed = df.withColumn("_key", key)
-    cut = order_statistics(keyed.filter(of).withColumn("_all", F.lit(1)), ["_all"], "_key", F.lit(1), {"cut": lambda _: F.lit(k)}).select("cut")
+    cut = order_statistics(keyed.filter(of).withColumn("_one", F.lit(1)), ["_one"], "_key", F.lit(1), {"cut": lambda _: F.lit(k)}).select("cut")
     return keyed.crossJoin(F.broadcast(cut)).withColumn("is_test", F.coalesce(of & (F.col("_key") <= F.col("cut")), F.lit(False))).drop("_key", "cut")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.stats import null_safe
+from fieldloom.operators.stats import join_keys
 
 
 def proportions(df: DataFrame, plot: str, species: str, abundance: str, traits: list[str]) -> DataFrame:
@@ -34,7 +34,7 @@ def rao(p: DataFrame, plot: str, species: str, traits: list[str]) -> DataFrame:
 def dissimilarity(p: DataFrame, plot: str, species: str, traits: list[str]) -> DataFrame:
     """(plot, simpson, rao, mpd = f_div, f_red = 1 - f_div); mpd is null where Simpson's index is 0."""
     s, q = simpson(p, plot), rao(p, plot, species, traits)
-    out = s.join(q, null_safe(s, q, [plot]), "left").select(s[plot], "simpson", F.coalesce("rao", F.lit(0.0)).alias("rao"))
+    out = join_keys(s, q, [plot]).select(plot, "simpson", F.coalesce("rao", F.lit(0.0)).alias("rao"))
     out = out.withColumn("mpd", F.when(F.col("simpson") > 1e-12, F.col("rao") / F.col("simpson")))
     return out.withColumn("f_red", 1 - F.col("mpd"))
 
@@ -124,10 +124,15 @@ def functional_diversity(df: DataFrame, plot: str, species: str, abundance: str,
     """sp_ric, f_ric, f_eve of each plot: a spanning tree and a hull need the plot's species together, which are few by nature."""
     p = proportions(df, plot, species, abundance, traits)
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna(subset=traits).sort_values(species)
-        x, n = g[traits].to_numpy(float), len(g)
-        few = n < n_min
-        return pd.DataFrame({plot: [g[plot].iloc[0] if n else None], "sp_ric": [n], "f_ric": [None if few else hull_volume(x)], "f_eve": [None if few else evenness(x, g["p"].to_numpy(float))]})
-
-    return p.groupBy(plot).applyInPandas(one, f"{plot} {df.schema[plot].dataType.simpleString()}, sp_ric int, f_ric double, f_eve double")
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for rec in pdf["rows"]:
+                x, own = np.array([r["x"] for r in rec], float).reshape(len(rec), len(traits)), np.array([r["p"] for r in rec], float)
+                rows.append((len(rec), None, None) if len(rec) < n_min else (len(rec), hull_volume(x), evenness(x, own)))
+            out = pd.DataFrame(rows, columns=["sp_ric", "f_ric", "f_eve"])
+            out.insert(0, plot, pdf[plot].to_numpy())
+            yield out
+
+    whole = p.dropna(subset=traits).groupBy(plot).agg(F.array_sort(F.collect_list(F.struct(F.col(species).alias("s"), "p", F.array(*[F.col(t).cast("double") for t in traits]).alias("x")))).alias("rows"))
+    return whole.mapInPandas(run, f"{plot} {df.schema[plot].dataType.simpleString()}, sp_ric int, f_ric double, f_eve double")

@@ -25,11 +25,14 @@ def _tree(c: Column, cuts: list[float], low: int, high: int) -> Column:
     return F.when(c > cuts[mid], _tree(c, cuts, mid + 1, high)).otherwise(_tree(c, cuts, low, mid))
 
 
-def null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on keys in which null equals null; ``b`` may descend from ``a``. Keys come from ``a``."""
+    own = [f"_j{i}" for i in range(len(keys))]
     on = F.lit(True)
-    for k in keys:
-        on = on & a[k].eqNullSafe(b[k])
-    return on
+    for k, j in zip(keys, own):
+        on = on & F.col(k).eqNullSafe(F.col(j))
+    right = b.select(*[F.col(k).alias(j) for k, j in zip(keys, own)], *[c for c in b.columns if c not in keys])
+    return a.join(right, on, how).drop(*own)
 
 
 def order_statistics(df: DataFrame, by: list[str], value: str, mass: Column, targets: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
@@ -52,8 +55,7 @@ def order_statistics(df: DataFrame, by: list[str], value: str, mass: Column, tar
     run = F.col("_before") + F.sum("_m").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     rows = cells.join(marks, on).withColumn("_cum", run).select(*by, "_v", "_cum", F.explode("_ts").alias("_x"))
     found = rows.groupBy(*by).agg(*[F.min(F.when((F.col("_x._n") == n) & (F.col("_cum") >= F.col("_x._t")), F.col("_v"))).alias(n) for n in targets])
-    out = last.join(found, null_safe(last, found, by), "left")
-    return out.select(*[last[k] for k in by], *[F.coalesce(found[n], last["_max"]).alias(n) for n in targets])
+    return join_keys(last, found, by).select(*by, *[F.coalesce(n, "_max").alias(n) for n in targets])
 
 
 def nearest_quantiles(df: DataFrame, by: list[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
@@ -77,17 +79,9 @@ def weighted_stats(df: DataFrame, by: list[str], value: str, weight: str, quanti
     if min_weight is not None:
         sums = sums.filter(F.col("count_weighted") >= min_weight)
     per = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    spread = per.join(sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "mean"), _keys(by)).groupBy(*by).agg(F.sqrt(F.sum(F.col("_w") * F.pow(F.col(value) - F.col("mean"), 2)) / F.sum("_w")).alias("std"))
+    spread = join_keys(per, sums.select(*by, "mean"), by, "inner").groupBy(*by).agg(F.sqrt(F.sum(F.col("_w") * F.pow(F.col(value) - F.col("mean"), 2)) / F.sum("_w")).alias("std"))
     ranks = weighted_quantiles(df, by, value, weight, quantiles)
-    out = sums.join(spread, null_safe(sums, spread, by), "left").join(ranks, null_safe(sums, ranks, by), "left")
-    return out.select(*[sums[k] for k in by], "mean", "std", *quantiles, "count", "count_weighted")
-
-
-def _keys(by: list[str]) -> Column:
-    on = F.lit(True)
-    for i, k in enumerate(by):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return on
+    return join_keys(join_keys(sums, spread, by), ranks, by).select(*by, "mean", "std", *quantiles, "count", "count_weighted")
 
 
 PLAIN: dict[str, Callable[[Column], Column]] = {
@@ -107,7 +101,7 @@ def grouped_stats(df: DataFrame, by: list[str], value: str, funcs: Mapping[str,
     if not quantiles:
         return out
     ranks = nearest_quantiles(df, by, value, quantiles)
-    joined = out.join(ranks, null_safe(out, ranks, by), "left").select(*[out[c] for c in out.columns], *[ranks[q] for q in quantiles])
+    joined = join_keys(out, ranks, by)
     return joined.withColumn("range", F.col("q98") - F.col("q02")) if {"q98", "q02"} <= set(quantiles) else joined
 
 

@@ -1,4 +1,6 @@
-"""Registry of the analytics queries."""
+"""All analytics queries; importing their modules registers them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from fieldloom.plans import cleaning, gridding, modelling, spatial  # noqa: F401
+from fieldloom.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
