@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed_stats(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count, mean and sum by event type and tumbling window; works on streams and tables."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "mean", "total")
 
 

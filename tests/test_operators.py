@@ -31,7 +31,7 @@ def test_species_names(spark):
     assert [r[0] for r in rows.select(names.exactly_two_words(F.col("s"))).collect()] == [True, False, False, None, False]
     assert col(spark, names.species_caps(F.col("s")), s="quercus ROBUR") == "Quercus robur"
     assert names.standard_trait_id("X.X4.") == "X4" and names.standard_trait_id("X1") == "X1"
-    assert col(spark, names.two_lines(F.col("s")), s="Stem conduit element length") == "Stem conduit\nelement length".replace("Stem conduit\nelement", "Stem conduit element") or True
+    assert col(spark, names.two_lines(F.col("s")), s="Stem conduit element length") == "Stem conduit element\nlength"
     assert col(spark, names.year_of(F.col("s")), s="abcd-01") is None and col(spark, names.year_of(F.col("s")), s="1999-05-01") == 1999
 
 
@@ -218,7 +218,7 @@ def test_power_round_trip(spark, lam):
 def test_power_fit(spark):
     rng = np.random.default_rng(1)
     assert abs(fit_lambda(np.expm1(np.abs(rng.normal(3, 0.5, 4000))))) < 0.15 and abs(fit_lambda(rng.normal(0, 1, 4000)) - 1) < 0.15
-    long = spark.createDataFrame([("a", float(x)) for x in rng.lognormal(1, 1, 500)] + [("b", 100.0 + x) for x in rng.normal(size=500)], "trait string, value double")
+    long = spark.createDataFrame([("a", float(x)) for x in rng.lognormal(1, 1, 500)] + [("b", 100.0 + float(x)) for x in rng.normal(size=500)], "trait string, value double")
     got = {r["trait"]: r for r in model.fit_power(long, gate=0.15).collect()}
     assert got["a"]["transformed"] and not got["b"]["transformed"] and got["b"]["lambda"] == 1.0
     back = model.apply_power(model.apply_power(long, model.fit_power(long)), model.fit_power(long), inverse=True)
