@@ -120,6 +120,12 @@ def hull_volume(x: np.ndarray) -> float | None:
     return float(sum(abs(np.linalg.det(x[sorted(f)] - centre)) for f in faces) / fact)
 
 
+def gated_diversity(df: DataFrame, plot: str, species: str, abundance: str, traits: list[str], least: float, n_min: int, n_max: int) -> DataFrame:
+    """Diversity of plots whose rows number n_min to n_max and whose abundances sum up to ``least``."""
+    fit = df.groupBy(plot).agg(F.count(F.lit(1)).alias("_n"), F.sum(abundance).alias("_s")).filter(F.col("_n").between(n_min, n_max) & (F.col("_s") >= least)).select(plot)
+    return dissimilarity(proportions(df.join(fit, plot, "left_semi"), plot, species, abundance, traits), plot, species, traits)
+
+
 def functional_diversity(df: DataFrame, plot: str, species: str, abundance: str, traits: list[str], n_min: int = 2) -> DataFrame:
     """sp_ric, f_ric, f_eve of each plot: a spanning tree and a hull need the plot's species together, which are few by nature."""
     p = proportions(df, plot, species, abundance, traits)

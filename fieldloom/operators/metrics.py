@@ -58,6 +58,12 @@ def majority(df: DataFrame, by: list[str], flag: str, n: int) -> DataFrame:
     return df.groupBy(*by).agg(F.when(F.count(flag) == F.count(F.lit(1)), (F.sum(flag) >= n / 2).cast("int")).alias("majority"))
 
 
+def difference(a: DataFrame, b: DataFrame, by: list[str], flag: str) -> DataFrame:
+    """1 where only ``a`` has the flag, -1 where only ``b`` has, 0 where both agree; null where either has none."""
+    x, y = a.select(*by, F.col(flag).alias("_x")), b.select(*by, F.col(flag).alias("_y"))
+    return x.join(y, by, "full").select(*by, (F.col("_x") - F.col("_y")).alias("difference"))
+
+
 def tiers(df: DataFrame, metric: str, name: str, top: float = 0.3, middle: float = 0.7) -> DataFrame:
     """Tier of each model by rank, with floor() cut-offs: one row a trait goes through one task."""
     w = Window.orderBy(F.desc(metric), name)

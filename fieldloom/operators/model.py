@@ -96,6 +96,23 @@ def pca(df: DataFrame, vector: str, components: int | float) -> tuple[np.ndarray
     return mean, rows_ * signs[:, None], share[:k]
 
 
+def loadings(rows: np.ndarray, names: list[str], k: int) -> list[tuple[int, str, float]]:
+    """(component, name, loading): the ``k`` largest by absolute value of each component."""
+    return [(i + 1, names[j], float(r[j])) for i, r in enumerate(rows) for j in np.argsort(-np.abs(r), kind="stable")[:k]]
+
+
+def reconstruct(df: DataFrame, vector: str, mean: np.ndarray, rows: np.ndarray) -> DataFrame:
+    """One row: mean squared error of the vector rebuilt from its components."""
+    shadow = rows.T @ rows  # projector, as large as the vector squared
+
+    def run(batches):
+        for pdf in batches:
+            c = _matrix(pdf[vector]) - mean if len(pdf) else np.zeros((0, len(mean)))
+            yield pd.DataFrame({"s": [float(((c - c @ shadow) ** 2).sum())], "n": [c.size]})
+
+    return df.select(vector).mapInPandas(run, "s double, n long").agg((F.sum("s") / F.sum("n")).alias("mse"))
+
+
 def project(df: DataFrame, vector: str, mean: np.ndarray, rows: np.ndarray) -> DataFrame:
     """Adds pc1, pc2, ... as expressions on the array."""
     out = df
@@ -206,58 +223,81 @@ def scaled_features(df: DataFrame, vector: str, weights: list[float] | None = No
     return df.crossJoin(packed).withColumn(vector, z).drop("_z")
 
 
-#: Training vectors that the distance operators hold in a task, at most; they are a documented sample of that size.
-TRAIN_CAP = 20_000
+#: Training vectors up to which they travel to every task; beyond that, blocks of as many meet blocks of the other side.
+TRAIN_BOUND = 20_000
 
 
-def _train_sample(train: DataFrame, key: str, cap: int) -> DataFrame:
-    """The first ``cap`` rows in a seeded order: a bounded set by construction."""
-    return train.orderBy(seeded(key), key).limit(cap)
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, 1))
 
 
-def nearest_distance(df: DataFrame, train: DataFrame, key: str, vector: str, fold: str | None = None, cap: int = TRAIN_CAP) -> DataFrame:
-    """Distance of each row to the nearest training vector; with ``fold``, one row for each other fold.
+def _squared(part: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.maximum((part * part).sum(1)[:, None] + (x * x).sum(1) - 2 * part @ x.T, 0)
 
-    The training side is a bounded sample, so it travels to the tasks; the other side streams through in blocks."""
-    rows = _train_sample(train, key, cap).select(vector, *([fold] if fold else [])).collect()
-    x = np.array([r[0] for r in rows], float)
-    f = np.array([r[1] for r in rows]) if fold else np.zeros(len(rows), int)
-    keep = [key, fold] if fold else [key]
 
-    def run(batches):
-        norms = (x * x).sum(1)
-        for pdf in batches:
-            v = np.stack(pdf[vector].to_list()).astype(float) if len(pdf) else np.zeros((0, x.shape[1]))
-            out = []
-            for lo in range(0, len(v), 512):
-                part = v[lo : lo + 512]
-                d = np.sqrt(np.maximum((part * part).sum(1)[:, None] + norms - 2 * part @ x.T, 0))
-                for other in np.unique(f) if fold else (None,):
-                    own = pdf.iloc[lo : lo + 512]
-                    take = (own[fold].to_numpy() != other) if fold else np.ones(len(own), bool)
-                    best = d[:, f == other].min(1) if fold else d.min(1)
-                    out.append(own.loc[take, keep].assign(dist=best[take], **({"other": other} if fold else {})))
-            yield pd.concat(out) if out else pdf[keep].assign(dist=0.0, **({"other": 0} if fold else {}))
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keep)
-    return df.select(*keep, vector).mapInPandas(run, f"{kinds}, dist double" + (", other int" if fold else ""))
-
-
-def mean_distance(train: DataFrame, key: str, vector: str, cap: int = TRAIN_CAP) -> DataFrame:
-    """One row: mean distance over all ordered pairs, self-pairs included, of the bounded training sample."""
-    rows = [r[0] for r in _train_sample(train, key, cap).select(vector).collect()]
-    x = np.array(rows, float)
+def _nearest(own: pd.DataFrame, x: np.ndarray, f: np.ndarray | None, keep: list[str], vector: str, fold: str | None) -> pd.DataFrame:
+    """Least distance of each row to ``x``, for each other fold if folds are given, in steps of 512 rows."""
+    v, out = _matrix(own[vector]), []
+    for lo in range(0, len(v), 512):
+        d = np.sqrt(_squared(v[lo : lo + 512], x))
+        rows = own.iloc[lo : lo + 512]
+        for other in np.unique(f) if fold else (None,):
+            take = (rows[fold].to_numpy() != other) if fold else np.ones(len(rows), bool)
+            best = d[:, f == other].min(1) if fold else d.min(1)
+            out.append(rows.loc[take, keep].assign(dist=best[take], **({"other": other} if fold else {})))
+    return pd.concat(out) if out else own[keep].assign(dist=0.0, **({"other": 0} if fold else {}))
 
-    def run(batches):
-        norms = (x * x).sum(1)
-        for pdf in batches:
-            v = np.stack(pdf[vector].to_list()).astype(float) if len(pdf) else np.zeros((0, x.shape[1]))
-            for lo in range(0, len(v), 512):
-                part = v[lo : lo + 512]
-                d2 = (part * part).sum(1)[:, None] + norms - 2 * part @ x.T
-                yield pd.DataFrame({"s": [np.sqrt(np.where(d2 < 1e-9, 0, d2)).sum()], "n": [d2.size]})
 
-    return _train_sample(train, key, cap).select(vector).mapInPandas(run, "s double, n long").agg((F.sum("s") / F.sum("n")).alias("mean_distance"))
+def _paired(df: DataFrame, train: DataFrame, key: str, n: int, run, schema: str) -> DataFrame:
+    """``run(left, right)`` on every pair of a block of ``df`` and a block of ``train``, each of bounded size: the price of an exact search without an index."""
+    blocks = -(-n // TRAIN_BOUND)
+    parts = max(1, -(-df.count() // TRAIN_BOUND))
+    left = df.withColumn("_p", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(parts))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = train.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(2)), F.lit(blocks)).cast("int")).withColumn("_p", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
+    left = left.withColumn("_p", F.col("_p").cast("bigint"))
+    return left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInPandas(run, schema)
+
+
+def nearest_distance(df: DataFrame, train: DataFrame, key: str, vector: str, fold: str | None = None, bound: int | None = None) -> DataFrame:
+    """Exact distance of each row to the nearest training vector; with ``fold``, one row for each other fold."""
+    keep = [key, fold] if fold else [key]
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keep) + ", dist double" + (", other int" if fold else "")
+    train, n = train.select(key, vector, *([fold] if fold else [])), train.count()
+    if n <= (TRAIN_BOUND if bound is None else bound):
+        rows = train.collect()  # checked bound
+        x, f = _matrix([r[vector] for r in rows]), np.array([r[fold] for r in rows]) if fold else None
+
+        def stream(batches):
+            for pdf in batches:
+                yield _nearest(pdf, x, f, keep, vector, fold)
+
+        return df.select(*keep, vector).mapInPandas(stream, schema)
+
+    def pair(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(other):
+            return own[keep].iloc[:0].assign(dist=0.0, **({"other": 0} if fold else {}))
+        return _nearest(own, _matrix(other[vector]), other[fold].to_numpy() if fold else None, keep, vector, fold)
+
+    near = _paired(df.select(*keep, vector), train, key, n, pair, schema)
+    return near.groupBy(*keep, *(["other"] if fold else [])).agg(F.min("dist").alias("dist")).select(*keep, "dist", *(["other"] if fold else []))
+
+
+def mean_distance(train: DataFrame, key: str, vector: str, bound: int | None = None) -> DataFrame:
+    """One row: mean distance over all ordered pairs, self-pairs included."""
+    train, n = train.select(key, vector), train.count()
+    total = lambda part, x: float(np.sqrt(np.where((d := _squared(part, x)) < 1e-9, 0, d)).sum())
+    steps = lambda v, x: pd.DataFrame({"s": [sum(total(v[lo : lo + 512], x) for lo in range(0, len(v), 512))], "n": [len(v) * len(x)]})
+    if n <= (TRAIN_BOUND if bound is None else bound):
+        x = _matrix([r[vector] for r in train.collect()])  # checked bound
+
+        def stream(batches):
+            for pdf in batches:
+                yield steps(_matrix(pdf[vector]), x)
+
+        sums = train.mapInPandas(stream, "s double, n long")
+    else:
+        sums = _paired(train, train, key, n, lambda a, b: steps(_matrix(a[vector]), _matrix(b[vector])) if len(a) and len(b) else pd.DataFrame({"s": [0.0], "n": [0]}), "s double, n long")
+    return sums.agg((F.sum("s") / F.sum("n")).alias("mean_distance"))
 
 
 def di_threshold(distances: DataFrame, mean: DataFrame, dist: str = "dist") -> DataFrame:

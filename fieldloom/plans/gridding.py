@@ -157,6 +157,15 @@ def mpd_redundancy(spark, sf_dir):
     return rounded(diversity.dissimilarity(_plots(spark, sf_dir), "plot", "species_key", ["size", "price"]), 5)
 
 
+@query(
+    "fd_gated",
+    "WITH {obs}, k AS (SELECT plot FROM obs GROUP BY plot HAVING count(*) BETWEEN 3 AND 6 AND sum(w) >= 80), " + _P.replace("FROM obs", "FROM obs SEMI JOIN k USING (plot)") + ", " + _RAO + " SELECT plot, round(1 - sum(p * p), 5) + 0e0 AS simpson, round(any_value(coalesce(rao, 0)), 5) + 0e0 AS rao FROM s LEFT JOIN r USING (plot) GROUP BY plot",
+)
+def fd_gated(spark, sf_dir):
+    """Diversity of plots with enough rows and abundance."""
+    return rounded(diversity.gated_diversity(obs(spark, sf_dir), "plot", "species_key", "w", ["size", "price"], 80, 3, 6).select("plot", "simpson", "rao"), 5)
+
+
 @query("functional_diversity")
 def functional_diversity(spark, sf_dir):
     """Richness by convex hull and evenness by spanning tree, of every plot."""

@@ -102,6 +102,13 @@ def aoa_majority(spark, sf_dir):
     return metrics.majority(z, ["row", "col"], "aoa", 2)
 
 
+@query("aoa_difference", "WITH {obs}, " + _AOA + ', p AS (SELECT "row", "col", max(aoa) FILTER (source = \'F\') AS f, max(aoa) FILTER (source = \'O\') AS o FROM z GROUP BY 1, 2) SELECT "row", "col", (f - o)::DOUBLE AS difference FROM p')
+def aoa_difference(spark, sf_dir):
+    """Three-class difference of two layers."""
+    z = gridded(spark, sf_dir).groupBy("row", "col", "source").agg((F.avg("v") > 45000).cast("int").alias("aoa"))
+    return metrics.difference(z.filter("source = 'F'"), z.filter("source = 'O'"), ["row", "col"], "aoa").withColumn("difference", F.col("difference").cast("double"))
+
+
 @query("class_means", "WITH {obs} SELECT \"row\" // 3 AS biome, round(avg(v), 4) + 0e0 AS mean FROM obs WHERE \"row\" // 3 BETWEEN 1 AND 4 GROUP BY 1")
 def class_means(spark, sf_dir):
     g = gridded(spark, sf_dir).withColumn("biome", F.expr("row div 3"))
@@ -207,6 +214,22 @@ def pca_embed(spark, sf_dir):
     return rounded(model.project(df, "x", mean, rows).drop("x"), 6)
 
 
+@query("pca_loadings")
+def pca_loadings(spark, sf_dir):
+    """The five largest loadings of three components, and the error of rebuilding from them."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    mean, rows, _ = model.pca(df, "x", 3)
+    top = spark.createDataFrame(model.loadings(rows, [f"e{i}" for i in range(len(mean))], 5), "component int, name string, loading double")
+    return top.crossJoin(F.broadcast(model.reconstruct(df, "x", mean, rows)))  # one row
+
+
+@query("impute_median", "WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END AS price FROM part), m AS (SELECT quantile_disc(price, 0.5) AS m FROM h) SELECT count(*) AS n, count(*) FILTER (abs(coalesce(price, m) - m) < 1e9) AS filled FROM h, m")
+def impute_median(spark, sf_dir):
+    """Missing prices by the median: all rows are filled afterwards."""
+    h = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice")).alias("price"))
+    return model.impute(h, ["price"]).agg(F.count(F.lit(1)).alias("n"), F.count("price").alias("filled"))
+
+
 @query("column_types")
 def column_types(spark, sf_dir):
     """The smallest type for each column of part."""

@@ -264,6 +264,26 @@ def fold_best_of_n(spark, sf_dir):
     return model.assign_folds(cells, "cell", "n", 5, 50)
 
 
+@query("hex_folds")
+def hex_folds(spark, sf_dir):
+    """Hexagons with their fold, hexagons without one kept."""
+    x, y = geo.to_equal_area(F.col("lon"), F.col("lat"))
+    q, r = geo.hex_cell(x, y, 500_000.0)
+    cells = obs(spark, sf_dir).groupBy(q.alias("q"), r.alias("r")).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.concat_ws("_", "q", "r"))
+    folds = model.assign_folds(cells.filter("n >= 20"), "cell", "n", 5, 20)
+    return cells.join(folds, "cell", "left")
+
+
+@query("harmonise_raster", "WITH {obs}, " + _BASE + f' SELECT r.i::INT AS "row", c.i::INT AS "col", round_even(least(greatest(v, 30000), 50000) / 10, 0)::SMALLINT AS v FROM range(36) r(i) CROSS JOIN range(72) c(i) JOIN g ON g."row" = r.i // 2 AND g."col" = c.i // 2 WHERE ((r.i * 7 + c.i * 3) % 5) + 1 IN (2, 4)')
+def harmonise_raster(spark, sf_dir):
+    """Resampled to a finer grid, masked, clipped and cast: one composition."""
+    from fieldloom.functions.names import clip
+
+    fine = raster.resample_nearest(raster.global_grid(spark, 5.0), _raster(spark, sf_dir), F.col("x"), F.col("y"), -180.0, 90.0, 10.0, 10.0, ["v"]).dropna(subset=["v"])
+    classes = raster.global_grid(spark, 5.0).select("row", "col", F.expr("((row * 7 + col * 3) % 5) + 1").alias("c"))
+    return raster.mask(fine, classes, "c", [2, 4]).select("row", "col", F.rint(clip(F.col("v"), 30000.0, 50000.0) / 10).cast("short").alias("v"))
+
+
 @query(
     "ks_statistic",
     "WITH a AS (SELECT l_quantity AS v, count(*) FILTER (l_returnflag = 'A') AS na, count(*) FILTER (l_returnflag = 'R') AS nb FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1), t AS (SELECT sum(na) AS n, sum(nb) AS m FROM a) SELECT round(max(d), 8) + 0e0 AS d, any_value(n)::BIGINT AS n, any_value(m)::BIGINT AS m FROM (SELECT abs(sum(na) OVER (ORDER BY v) / n - sum(nb) OVER (ORDER BY v) / m) AS d, n, m FROM a, t)",

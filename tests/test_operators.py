@@ -271,6 +271,8 @@ def test_applicability(spark):
     assert d.count() == 20 and {r["dist"] for r in d.collect()} == {1.0}
     mean = model.mean_distance(train, "id", "x")
     assert math.isclose(mean.first()[0], np.abs(np.subtract.outer(np.arange(20), np.arange(20))).mean())
+    assert sorted(map(tuple, model.nearest_distance(train, train, "id", "x", "fold", bound=0).collect())) == sorted(map(tuple, d.collect()))  # in blocks
+    assert math.isclose(model.mean_distance(train, "id", "x", bound=0).first()[0], mean.first()[0])
     far = spark.createDataFrame([(1, [100.0, 0.0]), (2, [3.0, 0.0])], "id int, x array<double>")
     out = model.applicability(model.nearest_distance(far, train, "id", "x"), mean, model.di_threshold(d, mean))
     assert {r["id"]: r["aoa"] for r in out.collect()} == {1: True, 2: False}
