@@ -324,3 +324,21 @@ def test_stream(spark, tmp_path):
         assert spark.table("w").agg(F.sum("n")).first()[0] == batch.count()
     finally:
         q.stop()
+
+
+def test_config_and_results(spark, tmp_path):
+    from fieldloom.sources.config import collect_results, load_config
+
+    (tmp_path / "a.json").write_text('{"fit": {"folds": 5, "seed": 1}, "x": 1}')
+    (tmp_path / "b.json").write_text('{"fit": {"folds": 6}}')
+    c = load_config(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
+    assert (c.fit.folds, c.fit.seed, c.x) == (6, 1, 1)
+    with pytest.raises(AttributeError):
+        _ = c.nothing
+    for t in ("X1", "X2"):
+        (tmp_path / "r" / t).mkdir(parents=True)
+        (tmp_path / "r" / t / "fold_3.csv").write_text("r2\n0.5\n")
+    got = collect_results(spark, str(tmp_path / "r" / "*"), r"(X\d+)/fold_(\d+)", ["trait", "fold"])
+    assert sorted(map(tuple, got.collect())) == [(0.5, "X1", "3"), (0.5, "X2", "3")]
+    folds = readers.read_folds(spark, str(tmp_path / "r" / "*"))
+    assert {r["fold"] for r in folds.collect()} == {3}
