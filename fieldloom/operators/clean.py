@@ -101,9 +101,11 @@ def best_per_key(df: DataFrame, key: list[str], order: Column, least: bool = Fal
 
 
 def filter_trait_set(df: DataFrame, name: str) -> DataFrame:
-    """``splot`` or ``gbif`` rows by the first letter of the source, or both with plots preferred on shared cells."""
-    if name in ("splot", "gbif"):
-        return df.filter(F.col("source") == name[0])
+    """Rows of the plot source (``s``), of the occurrence source (``g``), or of both with plots preferred on shared cells (``sg``)."""
+    if name in ("s", "g"):
+        return df.filter(F.col("source") == name)
+    if name != "sg":
+        raise ValueError(f"unknown trait set {name!r}")
     return best_per_key(df, ["x", "y"], F.struct("source", *[c for c in df.columns if c not in ("x", "y", "source")]))
 
 

@@ -164,7 +164,7 @@ def _cells(spark, sf_dir):
 @query("source_priority_dedup", "WITH {obs}, " + _CELLS + " SELECT x, y, source, round(v, 4) + 0e0 AS v, n FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY source DESC) AS r FROM m WHERE pft = 'ECONOMY') WHERE r = 1")
 def source_priority_dedup(spark, sf_dir):
     df = _cells(spark, sf_dir).filter("pft = 'ECONOMY'").select("x", "y", "source", "v", "n")
-    return rounded(clean.filter_trait_set(df, "splot_gbif"), 4, "v")
+    return rounded(clean.filter_trait_set(df, "sg"), 4, "v")
 
 
 @query("union_sources", "WITH {obs}, " + _CELLS + " SELECT x, y, source, round(v, 4) + 0e0 AS v, n, CASE WHEN source = 's' THEN pft END AS pft FROM m")
