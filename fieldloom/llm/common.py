@@ -62,7 +62,7 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file:///tmp/checkpoints"
         self.root = f"{base.rstrip('/')}/fieldloom-{uuid.uuid4().hex}"
