@@ -136,7 +136,7 @@ def judge(voted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, votes, posterior and verdict of every document."""
     m = Scratch(spark).save(measured(table(spark, sf_dir, "documents"), "doc_id").withColumn("votes", votes()), "measures")
-    return judge(m).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes"), F.round("posterior", 9).alias("posterior"))
+    return judge(m).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes"), F.round("posterior", 6).alias("posterior"))
 
 
 def filter_quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -147,3 +147,38 @@ def filter_quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     m = Scratch(docs.sparkSession).save(m, "voted")
     known = F.broadcast(posteriors(m))  # at most 3**7 rows
     return m.join(known, "votes").filter(~F.col("base") & (F.col("posterior") >= threshold)).select("_row.*")
+
+
+def _sql() -> str:
+    """The same measures, votes and estimation, with one pair of common table expressions a round."""
+    words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    cast = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}" for j, (bad, good) in enumerate(RULES.values()))
+    vs = ", ".join(f"v{j}" for j in range(K))
+    odds = "ln(prior / (1 - prior))" + "".join(f" + CASE v{j} WHEN 1 THEN ln(a{j} / (1 - b{j})) WHEN -1 THEN ln((1 - a{j}) / b{j}) ELSE 0 END" for j in range(K))
+    part = lambda w, j, vote: f"coalesce(sum(n * {w}) FILTER (v{j} = {vote}), 0)"
+    rate = lambda w, j, right, low, high: f"greatest({low}e0, least({high}e0, ({part(w, j, right)} + {ADDED}e0) / ({part(w, j, 1)} + {part(w, j, -1)} + {2 * ADDED}e0)))"
+    fresh = ", ".join(f"{rate('g', j, 1, *GOOD_BOUNDS)} AS a{j}, {rate('(1 - g)', j, -1, *BAD_BOUNDS)} AS b{j}" for j in range(K))
+    start = ", ".join(f"{RIGHT_GOOD}e0 AS a{j}, {RIGHT_BAD}e0 AS b{j}" for j in range(K))
+    rounds = ", ".join(
+        f"g{i} AS MATERIALIZED (SELECT p.*, 1 / (1 + exp(-({odds}))) AS g FROM p, s{i - 1}), s{i} AS MATERIALIZED (SELECT (sum(n * g) + {ADDED}e0) / (sum(n) + {2 * ADDED}e0) AS prior, {fresh} FROM g{i})" for i in range(1, ROUNDS + 1)
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {words} AS w FROM documents),
+h AS (SELECT r, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+x AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM h), range(0, {WINDOW}) z(o) WHERE c > 1 GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(x.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+        len(list_filter(w, lambda y: y = upper(y) AND y <> lower(y))) AS n_caps, len(regexp_extract_all(t, '!')) AS n_exclaim
+      FROM d JOIN l USING (r) LEFT JOIN x USING (r)),
+q AS (SELECT *, {cast} FROM m),
+p AS MATERIALIZED (SELECT {vs}, count(*)::DOUBLE AS n FROM q GROUP BY ALL),
+s0 AS MATERIALIZED (SELECT {PRIOR}e0 AS prior, {start}), {rounds},
+y AS (SELECT p.*, 1 / (1 + exp(-({odds}))) AS posterior FROM p, s{ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND posterior >= {THRESHOLD}e0 AS kept,
+       concat_ws(',', {vs}) AS votes, round(posterior, 6) AS posterior
+FROM q JOIN y USING ({vs})
+"""
+
+
+SQL = _sql()

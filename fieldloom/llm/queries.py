@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op3_suffix_array": suffix_array.SQL,
     "op5_substring_index": substring_index.SQL,
     "op6_license_scan": license_scan.SQL,
+    "op7_quality_rules": quality_rules.SQL,
 }
