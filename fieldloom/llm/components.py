@@ -29,7 +29,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds
     mark = None
     for i in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        big = _star(both, True).distinct()
+        big = _star(both, True)
         now, old = scratch.save(_star(big, False).distinct(), f"{name}{i}"), mark
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         scratch.drop(f"{name}{i - 1}")

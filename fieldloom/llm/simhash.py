@@ -6,8 +6,8 @@ vector) keeps the bits whose vector has odd product with t. Up to RADIUS differi
 than the whole space, so some t is orthogonal to all of them: in its table the pair collides, always.
 
 Exact copies meet first, in one row a fingerprint. Table rows whose masked value is alone are left
-out. A bucket of up to CAP fingerprints is compared within itself and gives a spanning forest of its links, not all
-pairs; a larger bucket is dealt out again by the same construction over the bits that its
+out. A bucket of up to CAP fingerprints is compared within itself and gives a star for each component of its
+links, not all pairs; a larger bucket is dealt out again by the same construction over the bits that its
 mask ignored, so that each level halves the bits left and the last buckets are small by counting
 alone. Nothing is dropped. Links then meet in connected components.
 
@@ -98,25 +98,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among distinct fingerprints, compared in blocks of rows."""
-    parent = list(range(len(fps)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    a, b = [], []
-    for lo in range(0, len(fps), 256):
-        near = np.bitwise_count(fps[lo : lo + 256, None] ^ fps[None, :]) <= radius
-        for i, j in zip(*np.nonzero(near)):
-            if lo + i < j and (x := root(lo + i)) != (y := root(j)):
-                parent[y] = x
-                a.append(fps[lo + i])
-                b.append(fps[j])
-    return np.array(a, np.uint64), np.array(b, np.uint64)
+def _stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each component of the links among distinct fingerprints, its first one paired with every other; each is compared once, with those not reached yet."""
+    a, b, left = [], [], np.arange(len(fps))
+    while len(left):
+        root, left, front = left[0], left[1:], left[:1]
+        while len(front) and len(left):
+            now, front = front[:256], front[256:]
+            hit = (np.bitwise_count(fps[now][:, None] ^ fps[left][None, :]) <= radius).any(axis=0)
+            new, left = left[hit], left[~hit]
+            front = np.concatenate([front, new])
+            a.append(np.full(len(new), fps[root]))
+            b.append(fps[new])
+    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
 
 def _bucket_links(radius: int):
@@ -128,7 +122,7 @@ def _bucket_links(radius: int):
         two = starts[ends - starts == 2]
         a, b = f[two], f[two + 1]
         near = np.bitwise_count(a ^ b) <= radius
-        parts = [(a[near], b[near])] + [_forest(f[s:e], radius) for s, e in zip(starts, ends) if e - s > 2]
+        parts = [(a[near], b[near])] + [_stars(f[s:e], radius) for s, e in zip(starts, ends) if e - s > 2]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
