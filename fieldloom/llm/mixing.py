@@ -29,7 +29,7 @@ from fieldloom.llm.common import Scratch, mix, n_words_of, table
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 SEED = 17
 #: Documents of a first-level bucket, about, and residuals that meet in a later one.
-BUCKET, FAN_IN = 20_000, 64
+BUCKET, FAN_IN = 4_096, 64
 _NEAR = 1e-9
 
 
