@@ -35,10 +35,12 @@ def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") ->
     return a.join(right, on, how).drop(*own)
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str, mass: Column, targets: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
-    """``by`` and, for each name, the least value whose cumulative mass reaches ``target(total mass)``; the greatest value if rounding keeps it out of reach."""
-    by_value = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(mass).alias("_m"))
-    cuts = df.approxQuantile(value, [(i + 1) / (CUTS + 1) for i in range(CUTS)], 0.005)
+def order_statistics(df: DataFrame, by: list[str], value: str, mass: Column, targets: Mapping[str, Callable[[Column], Column]], cuts_from: DataFrame | None = None) -> DataFrame:
+    """``by`` and, for each name, the least value whose cumulative mass reaches ``target(total mass)``; the greatest value if rounding keeps it out of reach.
+
+    Cut points come from ``cuts_from`` or ``df`` itself; they decide how evenly work is spread, never a result. Null values have no mass."""
+    by_value = df.groupBy(*by, F.col(value).alias("_v")).agg(F.coalesce(F.sum(F.when(F.col(value).isNotNull(), mass)), F.lit(0)).alias("_m"))
+    cuts = (df if cuts_from is None else cuts_from).approxQuantile(value, [(i + 1) / (CUTS + 1) for i in range(CUTS)], 0.005)
     cuts = sorted(set(cuts))
     cells = by_value.withColumn("_b", _tree(F.col("_v"), cuts, 0, len(cuts)))
     sums = cells.groupBy(*by, "_b").agg(F.sum("_m").alias("_s"), F.max("_v").alias("_top"))
@@ -63,9 +65,9 @@ def nearest_quantiles(df: DataFrame, by: list[str], value: str, quantiles: Mappi
     return order_statistics(df, by, value, F.lit(1), {n: (lambda total, q=q: F.rint(q * (total - 1)) + 1) for n, q in quantiles.items()})
 
 
-def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, quantiles: Mapping[str, float]) -> DataFrame:
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, quantiles: Mapping[str, float], cuts_from: DataFrame | None = None) -> DataFrame:
     """The first value, in order, whose cumulative weight reaches q times the total."""
-    return order_statistics(df, by, value, F.col(weight), {n: (lambda total, q=q: q * total) for n, q in quantiles.items()})
+    return order_statistics(df, by, value, F.col(weight), {n: (lambda total, q=q: q * total) for n, q in quantiles.items()}, cuts_from)
 
 
 WEIGHTED = {"median": 0.5, "q02": 0.02, "q05": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95, "q98": 0.98}
@@ -75,12 +77,13 @@ def weighted_stats(df: DataFrame, by: list[str], value: str, weight: str, quanti
     """mean, population std, quantiles, count (of all rows of the group) and count_weighted; a null value makes the mean null."""
     sums = df.groupBy(*by).agg(
         F.when(F.count(value) == F.count(F.lit(1)), F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("mean"), F.count(F.lit(1)).alias("count"), F.sum(weight).alias("count_weighted"))
+    # the one wide shuffle: spread and quantiles both read it
+    per = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
     sums = sums.filter(F.col("count") >= min_count)
     if min_weight is not None:
         sums = sums.filter(F.col("count_weighted") >= min_weight)
-    per = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
     spread = join_keys(per, sums.select(*by, "mean"), by, "inner").groupBy(*by).agg(F.sqrt(F.sum(F.col("_w") * F.pow(F.col(value) - F.col("mean"), 2)) / F.sum("_w")).alias("std"))
-    ranks = weighted_quantiles(df, by, value, weight, quantiles)
+    ranks = weighted_quantiles(per, by, value, "_w", quantiles, df)
     return join_keys(join_keys(sums, spread, by), ranks, by).select(*by, "mean", "std", *quantiles, "count", "count_weighted")
 
 
