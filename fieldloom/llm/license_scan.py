@@ -12,19 +12,25 @@ band's hash. So shingles are first looked up in the set of those leasts, a hash-
 scan; band values are computed for the windows around hits alone, and give what they would give
 over all windows. Every candidate is then verified by exact containment of the template's shingles.
 
-Defined cases: null, empty and short texts match nothing; a template under five words is one
-shingle of all its words and is refused, as are empty templates; repeated rows report the same
+Whole licence texts are templates in passages of about PASSAGE words, so that a text with only the later
+conditions or the warranty clause is found too; passages overlap so that each shingle lies in one.
+A phrase under five words is one shingle of all its words, looked up exactly by :func:`scan_phrases`.
+
+Defined cases: null, empty and short texts match nothing; ``scan`` refuses a template under five words,
+``scan_phrases`` one of five or more, and both an empty one; repeated rows report the same
 matches each; extra columns are ignored. Equal matches in overlapping windows are one row, at the first.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import Scratch, let, table
 
-SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
+SHINGLE, BANDS, CONTAINED, PASSAGE = 5, 64, 0.8, 60
 #: Shingles of templates up to which the look-up is a literal set in the plan; beyond, it is a join.
 SET_BOUND = 20_000
 
@@ -44,6 +50,20 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Wordings under five words, for :func:`scan_phrases`.
+PHRASES = {"All rights reserved": "All rights reserved."}
+
+
+def passages(name: str, text: str) -> dict[str, str]:
+    """Parts of about PASSAGE words of a whole text, each with the first SHINGLE - 1 words of the next."""
+    words = [w for w in text.split() if any(c.isalnum() for c in w)]
+    n = max(1, round(len(words) / PASSAGE))
+    cuts = [len(words) * i // n for i in range(n + 1)]
+    return {f"{name} part {i + 1}": " ".join(words[cuts[i] : cuts[i + 1] + SHINGLE - 1]) for i in range(n)}
+
+
+for _file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+    TEMPLATES |= passages(_file.stem, _file.read_text(encoding="utf-8"))
 
 
 def license_words(text: Column) -> Column:
@@ -106,6 +126,30 @@ def scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED) ->
     return verified.select("row", "doc_id", "template", first.alias("first_shingle"), "containment").groupBy("row", "doc_id", "template", "first_shingle").agg(F.max("containment").alias("containment")).drop("row")
 
 
+def scan_phrases(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """(doc_id, template, first_shingle, containment): each place of a phrase under five words, by its words; containment is 1."""
+    known = Scratch(docs.sparkSession).save(templates.select("template", license_words(F.col("text")).alias("own")).select("template", F.size("own").alias("k"), F.concat_ws(" ", "own").alias("phrase"), F.get("own", F.lit(0)).alias("first")), "phrases")
+    if not known.filter(f"template IS NULL OR k < 1 OR k >= {SHINGLE}").isEmpty():
+        raise ValueError(f"a phrase needs a name and one to {SHINGLE - 1} words")
+    lengths = sorted(r[0] for r in known.select("k").distinct().collect())  # at most SHINGLE - 1 numbers
+    firsts = known.select("first").distinct()
+    few = firsts.count() <= SET_BOUND
+    wanted = [r[0] for r in firsts.collect()] if few else []  # at most SET_BOUND words
+
+    def places(w: Column) -> Column:
+        def of(k: int) -> Column:
+            at = lambda i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.concat_ws(" ", F.slice(w, i + 1, k)).alias("phrase"))
+            return F.transform(w, lambda x, i: F.when(x.isin(wanted), at(i)) if few else at(i))
+
+        return F.filter(F.flatten(F.array(*[of(k) for k in lengths])), lambda x: x.isNotNull())
+
+    if not lengths:
+        return docs.select("doc_id", F.lit("").alias("template"), F.lit(0).alias("first_shingle"), F.lit(1.0).alias("containment")).limit(0)
+    found = docs.select("doc_id", F.explode(let(license_words(F.col("text")), places)).alias("x")).select("doc_id", "x.*")
+    own = known.select("template", "k", "phrase")
+    return found.join(F.broadcast(own) if few else own, ["k", "phrase"]).select("doc_id", "template", F.col("i").alias("first_shingle"), F.lit(1.0).alias("containment"))
+
+
 def built_in(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "template string, text string")
 
@@ -115,6 +159,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), built_in(spark)).withColumn("containment", F.round("containment", 6))
 
 
+def op6_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases under five words in all documents."""
+    return scan_phrases(table(spark, sf_dir, "documents"), spark.createDataFrame(list(PHRASES.items()), "template string, text string"))
+
+
 def _sql() -> str:
     """Containment in every window of each class, without bands: words joined by spaces stand for shingles."""
     rows = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in TEMPLATES.items())
@@ -134,3 +183,16 @@ GROUP BY r, doc_id, template, first_shingle
 
 
 SQL = _sql()
+
+
+def _phrases_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in PHRASES.items())
+    words = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '\.([^\p{L}\p{N}]|$)', ' \1', 'g'), '[^\p{L}\p{N}.]+'), lambda x: x <> '')"
+    return f"""
+WITH t AS (SELECT template, {words} AS own FROM (VALUES {rows}) v(template, text)), d AS (SELECT doc_id, {words} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)
+SELECT doc_id, template, i::INT AS first_shingle, 1e0 AS containment FROM p JOIN t ON w[i + 1 : i + len(own)] = own
+"""
+
+
+PHRASES_SQL = _phrases_sql()

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_substring_index": substring_index.op5_substring_index,
     "op6_license_scan": license_scan.op6_license_scan,
+    "op6_license_phrases": license_scan.op6_license_phrases,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontaminate.op9_decontamination,
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op3_suffix_array": suffix_array.SQL,
     "op5_substring_index": substring_index.SQL,
     "op6_license_scan": license_scan.SQL,
+    "op6_license_phrases": license_scan.PHRASES_SQL,
     "op7_quality_rules": quality_rules.SQL,
 }

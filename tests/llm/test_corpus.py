@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -342,6 +343,30 @@ def test_license_bands_and_bounds(spark, empty, docs, monkeypatch):
     assert sorted(map(str, license_scan.scan(some, license_scan.built_in(spark)).collect())) == near != []
 
 
+def test_license_later_passages(spark):
+    """A text that holds only the warranty clause, or only a middle section, of a licence."""
+    folder = Path(license_scan.__file__).parent / "licenses"
+    mit, apache = (" ".join((folder / f"{n}.txt").read_text().split()) for n in ("MIT", "Apache-2.0"))
+    some = [(1, "x " * 40 + mit[mit.index("THE SOFTWARE IS") :] + " y", "en", "s", 0), (2, apache[4000:6500], "en", "s", 0), (3, "nothing of the kind " * 50, "en", "s", 0)]
+    got = {(r["doc_id"], r["template"].split(" part ")[0]) for r in license_scan.scan(spark.createDataFrame(some, SCHEMA), license_scan.built_in(spark)).collect()}
+    assert {(1, "MIT"), (2, "Apache-2.0")} <= got and not [x for x in got if x[0] == 3]
+    for file in folder.glob("*.txt"):
+        parts = license_scan.passages(file.stem, file.read_text())
+        assert set(license_shingles(file.read_text())) <= {s for p in parts.values() for s in license_shingles(p)}
+
+
+def test_license_phrases(spark, empty, docs, monkeypatch):
+    some = spark.createDataFrame([(1, "All rights reserved.", "en", "s", 0), (2, "a, ALL\nRIGHTS reserved! all rights reserved", "en", "s", 0), (3, "all rights", "en", "s", 0), (4, "all my rights reserved", "en", "s", 0), (5, None, "en", "s", 0), (None, "x all rights reserved", "en", "s", 0)], SCHEMA)
+    phrases = spark.createDataFrame([("reserved", "All rights reserved."), ("rights", "all rights")], "template string, text string")
+    want = Counter({(1, "reserved", 0): 1, (2, "reserved", 1): 1, (2, "reserved", 4): 1, (None, "reserved", 1): 1, (1, "rights", 0): 1, (2, "rights", 1): 1, (2, "rights", 4): 1, (3, "rights", 0): 1, (None, "rights", 1): 1})
+    found = lambda: Counter((r["doc_id"], r["template"], r["first_shingle"]) for r in license_scan.scan_phrases(some, phrases).collect())
+    assert found() == want
+    monkeypatch.setattr(license_scan, "SET_BOUND", 0)
+    assert found() == want and license_scan.scan_phrases(empty, phrases).count() == 0 and license_scan.scan_phrases(docs, phrases.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        license_scan.scan_phrases(docs, spark.createDataFrame([("x", "this has five words here")], "template string, text string"))
+
+
 # --- 7: quality rules -------------------------------------------------------------------------------
 
 
