@@ -24,6 +24,14 @@ def yeo_johnson_inverse(c: Column, lam: Column) -> Column:
     return F.when(c >= 0, up).when(c < 0, down)
 
 
+def yeo_johnson_np(x: np.ndarray, lam: float) -> np.ndarray:
+    y = np.empty_like(x)
+    pos = x >= 0
+    y[pos] = np.log1p(x[pos]) if abs(lam) < 1e-12 else (np.power(x[pos] + 1, lam) - 1) / lam
+    y[~pos] = -np.log1p(-x[~pos]) if abs(2 - lam) < 1e-12 else -(np.power(1 - x[~pos], 2 - lam) - 1) / (2 - lam)
+    return y
+
+
 def fit_lambda(x: np.ndarray, low: float = -3.0, high: float = 5.0) -> float:
     """Maximum-likelihood lambda, by a grid and golden-section search."""
     x = np.asarray(x, float)
@@ -33,11 +41,7 @@ def fit_lambda(x: np.ndarray, low: float = -3.0, high: float = 5.0) -> float:
     const = np.sum(np.sign(x) * np.log1p(np.abs(x)))
 
     def loss(lam: float) -> float:
-        y = np.empty_like(x)
-        pos = x >= 0
-        y[pos] = np.log1p(x[pos]) if abs(lam) < 1e-12 else (np.power(x[pos] + 1, lam) - 1) / lam
-        y[~pos] = -np.log1p(-x[~pos]) if abs(2 - lam) < 1e-12 else -(np.power(1 - x[~pos], 2 - lam) - 1) / (2 - lam)
-        v = y.var()
+        v = yeo_johnson_np(x, lam).var()
         return np.inf if not np.isfinite(v) or v <= 0 else len(x) / 2 * np.log(v) - (lam - 1) * const
 
     grid = np.linspace(low, high, 81)

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.functions.power import fit_lambda, yeo_johnson, yeo_johnson_inverse
+from fieldloom.functions.power import yeo_johnson, yeo_johnson_inverse, yeo_johnson_np
 from fieldloom.operators import metrics
-from fieldloom.operators.stats import cap_per_group, seeded
+from fieldloom.operators.stats import seeded
 
 # --- column transforms ------------------------------------------------------------------------------
 
@@ -34,17 +34,66 @@ def log_transform(df: DataFrame, columns: list[str], keep: list[str] = []) -> Da
     return df.select(*[c for c in df.columns if c not in chosen], *[F.log1p(c).alias(f"{c}_ln") for c in chosen])
 
 
-def fit_power(long: DataFrame, trait: str = "trait", value: str = "value", cap: int = 100_000, gate: float = 0.0) -> DataFrame:
-    """Parameter table (trait, lambda, mean, scale, transformed): lambda by maximum likelihood on a seeded sample of at most ``cap`` values.
+def _moments(counted: DataFrame, trait: str, grids: dict[str | None, np.ndarray]) -> pd.DataFrame:
+    """Per trait of ``grids``: number of values, the Jacobian's sum, and mean and squared deviations of the values moved by each lambda of its grid.
 
-    A trait whose std / |mean| is under ``gate`` is left as it is, with lambda 1."""
-    stats = long.groupBy(trait).agg((F.stddev_samp(value) / F.abs(F.avg(value))).alias("cv"))
-    sample = cap_per_group(long.filter(F.col(value).isNotNull()).select(trait, value), [trait], cap, [seeded(value), F.col(value)])
+    Parts of a partition are merged by trait, and only one row a trait goes to the driver."""
+    schema = f"{trait} string, n double, jac double, mean array<double>, dev array<double>"
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({trait: [g[trait].iloc[0]], "fitted": [fit_lambda(np.sort(g[value].to_numpy(float)))]})
+    def part(batches):
+        for pdf in batches:
+            rows = []
+            for name, g in pdf.groupby(trait, dropna=False, sort=False):
+                name = None if pd.isna(name) else name
+                if name in grids:
+                    x, w = g["_x"].to_numpy(float), g["_n"].to_numpy(float)
+                    n, mean, dev = w.sum(), [], []
+                    for lam in grids[name]:
+                        y = yeo_johnson_np(x, lam)
+                        mean.append(float((w * y).sum() / n))
+                        dev.append(float((w * (y - mean[-1]) ** 2).sum()))
+                    rows.append((name, n, float((w * np.sign(x) * np.log1p(np.abs(x))).sum()), mean, dev))
+            yield pd.DataFrame(rows, columns=[trait, "n", "jac", "mean", "dev"])
+
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        n, means = g["n"].to_numpy(float), np.stack(g["mean"].to_list())
+        mean = (n[:, None] * means).sum(0) / n.sum()
+        dev = np.stack(g["dev"].to_list()).sum(0) + (n[:, None] * (means - mean) ** 2).sum(0)
+        return pd.DataFrame({trait: [g[trait].iloc[0]], "n": [n.sum()], "jac": [g["jac"].sum()], "mean": [mean], "dev": [dev]})
+
+    return counted.mapInPandas(part, schema).groupBy(trait).applyInPandas(merge, schema).toPandas()
+
+
+def fit_lambdas(long: DataFrame, trait: str, value: str, low: float = -3.0, high: float = 5.0) -> dict[str | None, float]:
+    """Maximum-likelihood lambda of each trait over all its finite values: grids of lambdas, each a fortieth as wide as the last, at one pass over (value, count) a grid."""
+    x = F.col(value).cast("double")
+    counted = long.select(F.col(trait).cast("string").alias(trait), x.alias("_x")).filter(F.abs("_x") < float("inf")).groupBy(trait, "_x").agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        kinds = counted.groupBy(trait).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).collect()  # one row a trait
+        out = {r[trait]: 1.0 for r in kinds}
+        grids = {r[trait]: np.linspace(low, high, 81) for r in kinds if r["k"] > 1}
+        width = (high - low) / 80
+        while grids and width > 1e-8:
+            for r in _moments(counted, trait, grids).itertuples(index=False):
+                name, n, jac, _, dev = r
+                name = None if pd.isna(name) else name
+                var = np.asarray(dev, float) / n
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    loss = np.where(np.isfinite(var) & (var > 0), n / 2 * np.log(var) - (grids[name] - 1) * jac, np.inf)
+                out[name] = float(grids[name][int(np.argmin(loss))])
+            grids = {t: np.clip(np.linspace(out[t] - width, out[t] + width, 81), low, high) for t in grids}
+            width /= 40
+        return out
+    finally:
+        counted.unpersist()
+
+
+def fit_power(long: DataFrame, trait: str = "trait", value: str = "value", gate: float = 0.0) -> DataFrame:
+    """Parameter table (trait, lambda, mean, scale, transformed): lambda by maximum likelihood on all values.
 
-    fits = sample.groupBy(trait).applyInPandas(one, f"{trait} string, fitted double")
+    A trait whose std / |mean| is under ``gate`` is left as it is, with lambda 1."""
+    stats = long.groupBy(trait).agg((F.stddev_samp(value) / F.abs(F.avg(value))).alias("cv"))
+    fits = long.sparkSession.createDataFrame(list(fit_lambdas(long, trait, value).items()), f"{trait} string, fitted double")
     params = fits.join(stats, trait).select(trait, F.when(F.col("cv") >= gate, F.col("fitted")).otherwise(1.0).alias("lambda"), (F.col("cv") >= gate).alias("transformed"))
     moved = long.join(params, trait).withColumn("_y", F.when(F.col("transformed"), yeo_johnson(F.col(value).cast("double"), F.col("lambda"))).otherwise(F.col(value)))
     return moved.groupBy(trait, "lambda", "transformed").agg(F.avg("_y").alias("mean"), F.stddev_pop("_y").alias("scale"))

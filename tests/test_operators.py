@@ -225,6 +225,18 @@ def test_power_fit(spark):
     assert abs(back.agg(F.sum("value")).first()[0] - long.agg(F.sum("value")).first()[0]) < 1e-6
 
 
+def test_power_fit_takes_all_values(spark):
+    """More rows than a sample would hold, a third of them equal, and the order of rows without a say."""
+    df = spark.range(150_000).select(F.lit("a").alias("trait"), F.when(F.col("id") % 3 == 0, 40.0).otherwise(F.exp(F.pmod(F.xxhash64("id"), F.lit(10_000)) / 2500.0)).alias("value"))
+    df = df.unionByName(spark.createDataFrame([("c", 5.0)] * 3 + [("m", x) for x in (-2.0, -1.0, 0.0, 0.5, 3.0, 9.0)], "trait string, value double"))
+    whole = df.groupBy("trait").agg(F.collect_list("value").alias("v")).collect()
+    want = {r["trait"]: fit_lambda(np.array(r["v"])) for r in whole}
+    got = {r["trait"]: r for r in model.fit_power(df).collect()}
+    assert want["c"] == 1.0 and all(abs(got[t]["lambda"] - want[t]) < 1e-5 for t in ("a", "m"))
+    y = df.filter("trait = 'a'").select(yeo_johnson(F.col("value"), F.lit(want["a"])).alias("y")).agg(F.avg("y"), F.stddev_pop("y")).first()
+    assert math.isclose(got["a"]["mean"], y[0], rel_tol=1e-4) and math.isclose(got["a"]["scale"], y[1], rel_tol=1e-4)
+
+
 def test_transforms(spark):
     df = spark.createDataFrame([(float(i), float(i * i), 5.0) for i in range(1, 6)], "X1 double, X4 double, k double")
     got = model.transform(df, "log", ["X1", "X4"])
