@@ -93,6 +93,13 @@ def antimeridian(spark, sf_dir):
     return ends.select("species", geo.crosses_antimeridian(F.col("lons")).alias("crosses"))
 
 
+@query("antimeridian_all", "WITH {obs} SELECT species, bool_or(lon > 150) AND bool_or(lon < -150) AS crosses FROM obs GROUP BY species")
+def antimeridian_all(spark, sf_dir):
+    """The same over all species keys."""
+    ends = obs(spark, sf_dir).groupBy("species").agg(F.array(F.min("lon"), F.max("lon")).alias("lons"))
+    return ends.select("species", geo.crosses_antimeridian(F.col("lons")).alias("crosses"))
+
+
 @query("reference_grid", 'SELECT r.i::INT AS "row", c.i::INT AS "col", round(-180 + (c.i + 0.5e0) * 5, 6) + 0e0 AS x, round(90 - (r.i + 0.5e0) * 5, 6) + 0e0 AS y FROM range(36) r(i), range(72) c(i)')
 def reference_grid(spark, sf_dir):
     return raster.global_grid(spark, 5.0)

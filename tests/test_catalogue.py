@@ -1,6 +1,7 @@
 """Every registered analytics query: against its SQL, or at least to the end."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.plans import catalogue
 from tests.conftest import SF
@@ -24,3 +25,13 @@ def test_registry_without_corpus_operators(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n in ("fieldloom.llm", "corpus_pipeline") else real(n, *a))
     assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.ORACLE_SQL)
+
+
+def test_whole_of_observations(spark):
+    """No species and no observation is left out of the queries over all of them."""
+    from fieldloom.plans.base import obs
+
+    o, q = obs(spark, SF), catalogue.QUERIES
+    assert q["antimeridian_all"](spark, SF).count() == o.select("species").distinct().count()
+    got = {r["pft"]: (r["n_before"], r["species_before"]) for r in q["trait_coverage_all"](spark, SF).collect()}
+    assert got == {r[0]: (r[1], r[2]) for r in o.groupBy("pft").agg(F.count(F.lit(1)), F.countDistinct("species")).collect()}
