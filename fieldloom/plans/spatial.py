@@ -241,13 +241,21 @@ def spherical_eval(spark, sf_dir):
     return rounded(table(spark, sf_dir, "part").select("p_partkey", variogram.spherical(F.col("p_size").cast("double"), 0.1, 0.9, 30.0).alias("gamma")), 6)
 
 
+#: Hexagon edges in metres, by the number of cells up to which a trait's resolution holds: areas are those of the published index's resolutions 0 to 5.
+_EDGES = tuple((n, math.sqrt(2 * area / (3 * math.sqrt(3))) * 1e3) for n, area in ((122, 4_357_449.4), (842, 609_788.4), (5_882, 86_801.8), (41_162, 12_393.4), (288_122, 1_770.3), (None, 252.9)))
+
+
 @query("variogram_range")
 def variogram_range(spark, sf_dir):
-    """Correlation ranges of a trait from the variograms of its hexagons."""
+    """Correlation ranges of a trait from the variograms of its hexagons, for about 5,000 points a hexagon, and of the trait as a whole."""
     x, y = geo.to_equal_area(F.col("lon"), F.col("lat"))
     df = gridded(spark, sf_dir).groupBy("pft", "lon", "lat").agg(F.avg("v").alias("z"), F.min("plot").alias("plot")).withColumn("x", x).withColumn("y", y)
-    df = df.withColumn("cell", F.expr("cast(floor(lon / 90) as int)")).withColumn("id", F.xxhash64("lon", "lat"))
-    return variogram.ranges(df, "pft", "cell", "id", "x", "y", "z", 800, 200)
+    wanted = F.greatest(F.lit(1), F.floor(F.col("_n") / 5000))
+    edge = F.coalesce(*[F.when(wanted <= n, F.lit(e)) if n else F.lit(e) for n, e in _EDGES])
+    edges = df.groupBy("pft").agg(F.count(F.lit(1)).alias("_n")).select("pft", edge.alias("edge"))
+    q, r = geo.hex_cell(F.col("x"), F.col("y"), F.col("edge"))
+    df = df.join(edges, "pft").withColumn("cell", F.concat_ws("_", q, r)).withColumn("id", F.xxhash64("lon", "lat"))
+    return variogram.ranges(df, "pft", "cell", "id", "x", "y", "z")
 
 
 # --- folds ------------------------------------------------------------------------------------------

@@ -205,6 +205,25 @@ def test_spherical_and_variogram(spark):
     assert variogram.variogram_range(a[:50, 0], a[:50, 1], a[:50, 2]) == (0.0, 0)
 
 
+def test_variogram_ranges_of_cells_and_of_the_whole(spark):
+    """All points of a large cell count, and a trait without a large cell has the global range."""
+    rng = np.random.default_rng(3)
+    field = lambda x, y: float(math.sin(x / 2) + math.cos(y / 3))
+    pts = [("big", int(x > 5), x, y, field(x, y)) for x, y in rng.uniform(0, 10, (5000, 2)).tolist()]
+    pts += [("thin", i % 10, x, y, field(x, y)) for i, (x, y) in enumerate(rng.uniform(0, 10, (600, 2)).tolist())]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id int, t string, cell int, x double, y double, z double")
+    got = {r["t"]: r for r in variogram.ranges(df, "t", "cell", "id", "x", "y", "z").collect()}
+    assert set(got) == {"big", "thin"} and got["big"]["n_chunks"] == 2 and 4900 < got["big"]["n"] <= 5000
+    a = np.array([p[2:] for p in pts if p[0] == "thin"])
+    want, n = variogram.variogram_range(a[:, 0], a[:, 1], a[:, 2], 200, 30_000)
+    assert n == 600 and want > 0
+    assert all(got["thin"][c] == got["thin"]["global_range"] == pytest.approx(want) for c in ("mean", "median", "q05", "q95"))
+    assert (got["thin"]["n"], got["thin"]["n_chunks"], got["thin"]["std"], got["thin"]["stability"]) == (600, 1, 0.0, 1.0)
+    d, g = (np.concatenate(v) for v in zip(*variogram._distance_blocks(a[:, 0], a[:, 1], a[:, 2], 5000)))
+    i, j = np.triu_indices(len(a), 1)
+    assert np.allclose(d, np.hypot(a[i, 0] - a[j, 0], a[i, 1] - a[j, 1])) and np.allclose(g, 0.5 * (a[i, 2] - a[j, 2]) ** 2)
+
+
 # --- transforms, scores, models ---------------------------------------------------------------------
 
 
