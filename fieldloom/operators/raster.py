@@ -81,6 +81,32 @@ def fill_nearest(df: DataFrame, holes: DataFrame, value: str, reach: int) -> Dat
     return near.groupBy("row", "col").agg(F.min_by(value, F.struct("d", "_r", "_c")).alias(value))
 
 
+def fill_all_nearest(df: DataFrame, holes: DataFrame, value: str, reach: int = 4) -> DataFrame:
+    """Every hole (row, col) with the value of the nearest cell with data at any distance (ties: least row, then column); none without data.
+
+    Rings of double the reach serve the holes that are left, and look only at rows and columns between the data's ends. The result is persisted."""
+    data = df.filter(F.col(value).isNotNull()).select(F.col("row").alias("_r"), F.col("col").alias("_c"), value)
+    ends = [F.min("_r"), F.max("_r"), F.min("_c"), F.max("_c")]
+    r0, r1, c0, c1 = data.agg(*ends).first()
+    if r0 is None:
+        return holes.select("row", "col").join(data.select(value), F.lit(True)).limit(0)
+    state, done = holes.select("row", "col", F.lit(None).cast(df.schema[value].dataType).alias(value)), -1
+    while True:
+        span = lambda c, lo, hi: F.sequence(F.greatest(F.col(c) - reach, F.lit(lo)), F.least(F.col(c) + reach, F.lit(hi)))  # noqa: B023, E731
+        inside = F.col("row").between(r0 - reach, r1 + reach) & F.col("col").between(c0 - reach, c1 + reach)
+        looks = state.filter(F.col(value).isNull() & inside).select("row", "col", F.explode(span("row", r0, r1)).alias("_r")).select("*", F.explode(span("col", c0, c1)).alias("_c"))
+        d = F.pow(F.col("_r") - F.col("row"), 2) + F.pow(F.col("_c") - F.col("col"), 2)
+        near = looks.withColumn("_d", d).filter((F.col("_d") <= reach * reach) & (F.col("_d") > done * done if done > 0 else F.lit(True))).join(data, ["_r", "_c"])
+        found = near.groupBy("row", "col").agg(F.min_by(value, F.struct("_d", "_r", "_c")).alias("_v"))
+        last, state = state, state.join(found, ["row", "col"], "left").select("row", "col", F.coalesce(value, "_v").alias(value)).persist()
+        left = state.filter(F.col(value).isNull() & F.col("row").isNotNull() & F.col("col").isNotNull()).count()
+        if done > 0:
+            last.unpersist()
+        if not left:
+            return state.filter(F.col(value).isNotNull())
+        done, reach = reach, 2 * reach
+
+
 def lookup_class(points: DataFrame, classes: DataFrame, column: str, default: int = 0) -> DataFrame:
     """Class of each point's (row, col); outside of the raster, ``default``."""
     return points.join(classes.select("row", "col", column), ["row", "col"], "left").withColumn(column, F.coalesce(column, F.lit(default)))

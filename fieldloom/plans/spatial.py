@@ -182,6 +182,17 @@ def nearest_fill(spark, sf_dir):
     return raster.fill_nearest(r, holes, "n", 4)
 
 
+@query(
+    "nearest_fill_all",
+    "WITH {obs}, " + _BASE + ', h AS (SELECT r.i AS hr, c.i AS hc FROM range(18) r(i), range(36) c(i)), o AS (SELECT hr, hc FROM h WHERE NOT EXISTS (SELECT 1 FROM g WHERE g."row" = hr AND g."col" = hc)) SELECT hr::INT AS "row", hc::INT AS "col", n FROM (SELECT hr, hc, n, row_number() OVER (PARTITION BY hr, hc ORDER BY (g."row" - hr) * (g."row" - hr) + (g."col" - hc) * (g."col" - hc), g."row", g."col") AS k FROM o JOIN g ON true) WHERE k = 1',
+)
+def nearest_fill_all(spark, sf_dir):
+    """Every hole, however far from data."""
+    r = _raster(spark, sf_dir).select("row", "col", "n")
+    holes = raster.global_grid(spark, 10.0).select("row", "col").join(r, ["row", "col"], "left_anti")
+    return raster.fill_all_nearest(r, holes, "n")
+
+
 @query("resample_nearest", "WITH {obs}, " + _BASE + ' SELECT r.i::INT AS "row", c.i::INT AS "col", n::DOUBLE AS n FROM range(36) r(i) CROSS JOIN range(72) c(i) LEFT JOIN g ON g."row" = r.i // 2 AND g."col" = c.i // 2')
 def resample_nearest(spark, sf_dir):
     """A 10 degree raster read at the centres of a 5 degree grid."""

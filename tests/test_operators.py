@@ -205,6 +205,19 @@ def test_spherical_and_variogram(spark):
     assert variogram.variogram_range(a[:50, 0], a[:50, 1], a[:50, 2]) == (0.0, 0)
 
 
+def test_fill_at_any_distance(spark):
+    """Against brute force: far holes, ties, a null as no data, no data at all."""
+    cells = [(0, 0, 1.0), (3, 90, 2.0), (70, 5, 3.0), (71, 5, None), (70, 9, 4.0)]
+    holes = [(r, c) for r in range(0, 140, 23) for c in range(0, 120, 19)] + [(70, 7), (400, -300)]
+    known = [x for x in cells if x[2] is not None]
+    holes = [h for h in holes if h not in {x[:2] for x in known}]
+    want = {h: min(((x[0] - h[0]) ** 2 + (x[1] - h[1]) ** 2, *x) for x in known)[3] for h in holes}
+    df, out = spark.createDataFrame(cells, "row int, col int, v double"), spark.createDataFrame(holes, "row int, col int")
+    got = raster.fill_all_nearest(df, out, "v").collect()
+    assert {(r["row"], r["col"]): r["v"] for r in got} == want and len(got) == len(holes)
+    assert raster.fill_all_nearest(df.filter("v IS NULL"), out, "v").count() == 0
+
+
 def test_variogram_ranges_of_cells_and_of_the_whole(spark):
     """All points of a large cell count, and a trait without a large cell has the global range."""
     rng = np.random.default_rng(3)
