@@ -93,6 +93,39 @@ def ks_p_value(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))) if x > 0.2 else 1.0
 
 
+def t_within(t: float, df: int) -> float:
+    """Share of Student's distribution with whole degrees of freedom between -t and t: its finite series."""
+    theta = math.atan(abs(t) / math.sqrt(df))
+    sin, cos = math.sin(theta), math.cos(theta)
+    term, total = (cos, 0.0) if df % 2 else (1.0, 0.0)
+    for k in range((df - 1) // 2 if df % 2 else df // 2):
+        total += term
+        term *= cos * cos * ((2 * k + 2) / (2 * k + 3) if df % 2 else (2 * k + 1) / (2 * k + 2))
+    return 2 / math.pi * (theta + sin * total) if df % 2 else sin * total
+
+
+def t_critical(share: float, df: int) -> float:
+    """The t between whose negative and itself ``share`` of the distribution lies."""
+    low, high = 0.0, 1.0
+    while t_within(high, df) < share:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_within(mid, df) < share else (low, mid)
+    return (low + high) / 2
+
+
+def one_sided(values: list[float], share: float = 0.99) -> tuple[float, float | None, int, float | None, float | None, float | None]:
+    """(mean, std, n, p of a mean not above 0, low and high end of the interval of ``share``); a single value has no std, p or interval."""
+    n, mean = len(values), sum(values) / len(values)
+    if n < 2:
+        return mean, None, n, None, None, None
+    std = math.sqrt(sum((v - mean) ** 2 for v in values) / (n - 1))
+    half = t_critical(share, n - 1) * std / math.sqrt(n)
+    inside = t_within(mean / (std / math.sqrt(n)), n - 1) if std > 0 else float(mean != 0)
+    return mean, std, n, (1 - math.copysign(inside, mean)) / 2, mean - half, mean + half
+
+
 def ks_statistic(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     """(d, n, m): the largest distance of two empirical distributions. Equal values are counted together first."""
     at = df.filter(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))

@@ -257,16 +257,14 @@ def _train(spark, sf_dir):
 
 @query("gbt_cv_metrics")
 def gbt_cv_metrics(spark, sf_dir):
-    """Scores of a fold's model on the rows that it has not seen."""
-    _, pred = model.train_fold(_train(spark, sf_dir), ["size", "noise", "price"], "obs", "fold", 0, "weight")
-    return pred.agg(*metrics.regression_metrics())
+    """Scores of every fold's model on the rows that it has not seen, and their mean and std."""
+    return model.cross_validate(_train(spark, sf_dir), ["size", "noise", "price"], "obs", "fold", "weight")
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    df = _train(spark, sf_dir)
-    m, _ = model.train_fold(df, ["size", "noise", "price"], "obs", "fold", 0)
-    return model.permutation_importance(m, df, ["size", "noise", "price"], {"size": ["size"], "noise": ["noise"], "both": ["size", "price"]}, "obs", "p_partkey", 2)
+    """Of every fold's model on that fold's rows."""
+    return model.fold_importance(_train(spark, sf_dir), ["size", "noise", "price"], {"size": ["size"], "noise": ["noise"], "both": ["size", "price"]}, "obs", "fold", "p_partkey", 2)
 
 
 @query("cov_across_folds", "WITH {obs}, f AS (SELECT \"row\", \"col\", plot % 5 AS fold, avg(v) - 30000 AS p FROM obs GROUP BY 1, 2, 3), c AS (SELECT abs(min(p)) AS c FROM f) SELECT \"row\", \"col\", round(stddev_samp(p + c) / avg(p + c), 6) + 0e0 AS cov FROM f, c GROUP BY 1, 2")

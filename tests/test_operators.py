@@ -309,6 +309,31 @@ def test_folds_and_models(spark):
     assert imp["a"] > imp["b"]
 
 
+def test_every_fold_is_validated(spark):
+    df = spark.range(240).select("id", (F.col("id") % 13).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 13 * 2.0 + F.col("id") % 5).alias("y"), (F.col("id") % 3).cast("int").alias("fold"))
+    got = {r["fold"]: r for r in model.cross_validate(df, ["a", "b"], "y", "fold").collect()}
+    assert set(got) == {"0", "1", "2", "mean", "std"}
+    for k in range(3):
+        own = one(model.train_fold(df, ["a", "b"], "y", "fold", k)[1].agg(*metrics.regression_metrics("y")))
+        assert all(math.isclose(got[str(k)][m], own[m], rel_tol=1e-9) for m in metrics.METRICS)
+    rmse = [got[str(k)]["rmse"] for k in range(3)]
+    assert math.isclose(got["mean"]["rmse"], np.mean(rmse)) and math.isclose(got["std"]["rmse"], np.std(rmse, ddof=1))
+    imp = model.fold_importance(df, ["a", "b"], {"a": ["a"], "b": ["b"]}, "y", "fold", "id", 2).collect()
+    assert sorted((r["fold"], r["feature"], r["n"]) for r in imp) == [(k, f, 2) for k in range(3) for f in "ab"]
+    assert all(r["p99_low"] <= r["importance"] <= r["p99_high"] and 0 <= r["p_value"] <= 1 for r in imp)
+    m, val = model.train_fold(df, ["a", "b"], "y", "fold", 1)
+    own = model.permutation_importance(m, val.drop("pred"), ["a", "b"], {"a": ["a"]}, "y", "id", 2).first()
+    assert math.isclose(own["importance"], next(r["importance"] for r in imp if (r["fold"], r["feature"]) == (1, "a")), rel_tol=1e-9)
+
+
+def test_student():
+    """Values of printed tables."""
+    assert all(abs(metrics.t_critical(0.99, n) - t) < 1e-3 for n, t in ((1, 63.657), (2, 9.925), (3, 5.841), (4, 4.604), (9, 3.250), (30, 2.750)))
+    mean, std, n, p, low, high = metrics.one_sided([1.0, 2.0, 3.0])
+    assert (mean, std, n) == (2.0, 1.0, 3) and abs(p - 0.03709) < 1e-4 and abs(high - mean - 9.925 / math.sqrt(3)) < 1e-3 and abs(low + high - 4) < 1e-9
+    assert metrics.one_sided([0.0, 0.0])[3] == 0.5 and metrics.one_sided([-1.0, -1.0])[3] == 1.0 and metrics.one_sided([1.0])[3:] == (None, None, None)
+
+
 def test_applicability(spark):
     train = spark.createDataFrame([(i, i % 2, [float(i), 0.0]) for i in range(20)], "id int, fold int, x array<double>")
     d = model.nearest_distance(train, train, "id", "x", "fold")
