@@ -86,6 +86,19 @@ def plot_stats_to_grid(spark, sf_dir):
     return rounded(cells, 4, "mean")
 
 
+@query("plot_stats_to_grid_all")
+def plot_stats_to_grid_all(spark, sf_dir):
+    """All nine statistics of plots carried to grid cells, each as a mean weighted by plot."""
+    from fieldloom.operators.raster import with_cells
+
+    o = obs(spark, sf_dir)
+    places = o.groupBy("plot").agg(F.sum("w").alias("pw"), F.min("lon").alias("lon"), F.min("lat").alias("lat"))
+    names = ("mean", "std", *stats.WEIGHTED)
+    plots = with_cells(stats.community_stats(o, "plot", "v", "w").drop("count").join(places, "plot"), "lon", "lat", 10.0)
+    cells = plots.groupBy("row", "col").agg(*[(F.sum(F.col("pw") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("pw")))).alias(c) for c in names], F.count(F.lit(1)).alias("count"))
+    return rounded(cells, 4, *names)
+
+
 @query("species_mean", "WITH {obs} SELECT species, round(avg(v), 4) + 0e0 AS mean, count(*) AS n FROM obs GROUP BY species")
 def species_mean(spark, sf_dir):
     return rounded(obs(spark, sf_dir).groupBy("species").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n")))
