@@ -17,10 +17,23 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; a longer single text is handled alone.
 STEP_BYTES = 1 << 20
+#: Bytes of a split of a table's files, by default.
+SPLIT_BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is stored in fewer files than there are cores and holds less than a split of the default size for each.
+
+    Such a file is often one row group, which one task reads whatever the number of splits; larger
+    tables stay as they are, so what moves here never grows beyond a split a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPLIT_BYTES
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
 def words_of(text: Column) -> Column:
