@@ -2,15 +2,22 @@
 
 Every line is good or bad. Its features (below) and those of the lines before and after it give an
 emission score, a 2 x 2 table scores transitions, and forward-backward gives each line's marginal
-probability of good. A document's score is the mean of its lines' marginals, weighted by length.
-
-The field is fitted to document labels, each standing for all lines of its document, on at most
-SAMPLE labelled documents of at most LINES lines, the first by a hash of the id. Only rows
+probability of good. Marginals are averaged over a document, weighted by length; the score is the
+probability of a good document that a logistic curve over that average, fitted to the labels, gives.
+
+Labels are of documents, those of lines are latent: all lines of a good document are good, and a bad
+one has at least one bad line. Fitting alternates between both (TURNS): lines are first judged each
+by its own features, without neighbours, so that the clean lines of a bad document are told from its
+bad ones; then the field is fitted to the lines' labels, and judges the lines of bad documents again.
+It is fitted on at most SAMPLE labelled documents, the first by a hash of the id, and a run of at
+most LINES consecutive lines of each, at a place chosen by a hash of the text. Only rows
 whose crc32(doc_id) mod 4 is not 2 are learnt from; ids, language, source and labels never enter a score.
 
 Defined cases: a text without words counts as one empty line, so it has a score too; null is empty;
-several labels of a document are averaged; without labelled rows of both kinds the score is the share
-of good ones known, or 0.5; every row is scored, repeated ones alike; extra columns are ignored.
+a very long text is scored whole, in a step of its own; several labels of a document are averaged, a
+tie is good; rows of one id and other texts are each learnt from, within SAMPLE; without labelled rows
+of both kinds the score is the share of good ones known, or 0.5; every row is scored, repeated ones
+alike; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +29,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import hash_runs, hash_spans, mix, table, text_steps, word_bounds, word_sums
 
-SAMPLE, LINES = 2000, 256
+SAMPLE, LINES = 2000, 128
+#: Times that lines are judged again and the field is fitted to them.
+TURNS = 3
 THRESHOLD = 0.7
 HELD_OUT = 2
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
@@ -139,10 +148,10 @@ def forward_backward(score: np.ndarray, trans: np.ndarray, first: np.ndarray, co
 
 def fit(row: np.ndarray, x: np.ndarray, good: np.ndarray) -> dict:
     """Parameters by Adam on the conditional likelihood; ``good`` is each line's label."""
-    full = with_neighbours(row, x).astype(np.float64)
-    mean, scale = full.mean(0), full.std(0)
+    full = with_neighbours(row, x)
+    mean, scale = full.mean(0, dtype=np.float64), full.std(0, dtype=np.float64)
     mean[0], scale[scale < 1e-6] = 0, 1
-    full = (full - mean) / scale
+    full = ((full - mean) / scale).astype(np.float32)
     first, counts = _layout(row)
     docs, linked = len(first), np.flatnonzero(row[1:] == row[:-1])
     weights, trans = np.zeros(full.shape[1]), np.zeros((2, 2))
@@ -175,14 +184,49 @@ def score_lines(model: dict, row: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a + b, -40, 40)))
 
 
+def line_labels(row: np.ndarray, p: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Labels of lines, of their marginals and their documents' labels: a bad document's worst lines are bad, whatever their marginal."""
+    worst = np.full(len(good), np.inf)
+    np.minimum.at(worst, row, p)
+    return np.where(good[row] > 0, 1.0, ((p >= 0.5) & (p > worst[row])).astype(float))
+
+
+def document_scores(row: np.ndarray, weight: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    """Mean marginal of each of ``n`` documents, weighted by the length of lines."""
+    return np.bincount(row, weights=p * weight, minlength=n) / np.bincount(row, weights=weight, minlength=n)
+
+
+def calibrate(s: np.ndarray, good: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
+    """(slope, intercept) of the logistic curve of ``good`` over ``s``, by Newton steps; the slope is not negative."""
+    x, w = np.stack([s, np.ones(len(s))], 1), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (good - p) - ridge * w)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(np.log((good.sum() + 1) / (len(good) - good.sum() + 1))))
+
+
+def fit_documents(row: np.ndarray, weight: np.ndarray, x: np.ndarray, good: np.ndarray) -> dict:
+    """The field, fitted to labels of documents (``good``, one each), and the curve over its documents' averages."""
+    alone = np.arange(len(row))
+    y = line_labels(row, score_lines(fit(alone, x, good[row]), alone, x), good)
+    for _ in range(TURNS):
+        model = fit(row, x, y)
+        p = score_lines(model, row, x)
+        y = line_labels(row, p, good)
+    return {**model, "curve": calibrate(document_scores(row, weight, p, len(good)), good)}
+
+
 def _sampled(batches):
     for batch in batches:
-        out = []
+        out, weights, ths = [], [], batch.column("th").to_numpy()
         for lo, hi, data, offsets in text_steps(batch.column("text"), 1 << 21):
-            row, _, x = line_features(data, offsets)
+            row, weight, x = line_features(data, offsets)
             counts = np.bincount(row, minlength=hi - lo)
-            out += [y.tobytes() if len(y) <= LINES else None for y in np.split(x, np.cumsum(counts)[:-1])]
-        yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(out, pa.binary())], ["good", "lines"])
+            first = np.cumsum(counts) - counts + np.where(counts > LINES, ths[lo:hi] % np.maximum(1, counts - LINES + 1), 0)
+            for f, n in zip(first, np.minimum(counts, LINES)):
+                out.append(x[f : f + n].tobytes())
+                weights.append(weight[f : f + n].astype(np.int64).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("place", "doc_id", "th", "good")] + [pa.array(out, pa.binary()), pa.array(weights, pa.binary())], ["place", "doc_id", "th", "good", "lines", "weights"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,14 +236,18 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Fitted parameters, from at most ``sample`` labelled documents that may be learnt from."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("good", "text")  # ``some`` has at most ``sample`` rows
-    got = sorted(((r["good"], bytes(r["lines"])) for r in rows.mapInArrow(_sampled, "good boolean, lines binary").filter("lines IS NOT NULL").limit(2 * sample).collect()))
-    if len({g for g, _ in got}) < 2:
-        return {"prior": got[0][0] * 1.0 if got else 0.5}
-    lines = [np.frombuffer(b, np.float32).reshape(-1, len(FEATURES)) for _, b in got]
+    order = ["place", "doc_id", "th"]
+    some = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("place", "doc_id", F.xxhash64("text").alias("th"), "good", "text")  # ``some`` has at most ``sample`` rows
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(_sampled, f"place bigint, doc_id {kind}, th bigint, good boolean, lines binary, weights binary")
+    got = found.orderBy(*order).limit(sample).select("good", "lines", "weights").collect()  # at most ``sample`` rows of LINES lines
+    good = np.array([r["good"] for r in got], float)
+    if len(set(good)) < 2:
+        return {"prior": float(good[0]) if len(good) else 0.5}
+    lines = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(FEATURES)) for r in got]
     row = np.repeat(np.arange(len(got)), [len(x) for x in lines])
-    return fit(row, np.concatenate(lines), np.array([g for g, _ in got], float)[row])
+    return fit_documents(row, np.concatenate([np.frombuffer(r["weights"], np.int64) for r in got]), np.concatenate(lines), good)
 
 
 def _scored(model: dict, keep: list[str]):
@@ -211,8 +259,8 @@ def _scored(model: dict, keep: list[str]):
                     out.append(np.full(hi - lo, model["prior"]))
                     continue
                 row, weight, x = line_features(data, offsets)
-                p = score_lines(model, row, x)
-                out.append(np.bincount(row, weights=p * weight, minlength=hi - lo) / np.bincount(row, weights=weight, minlength=hi - lo))
+                slope, intercept = model["curve"]
+                out.append(1 / (1 + np.exp(-(slope * document_scores(row, weight, score_lines(model, row, x), hi - lo) + intercept))))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.clip(np.concatenate([*out, np.zeros(0)]), 0, 1))], [*keep, "score"])
 
     return run

@@ -185,6 +185,91 @@ def test_crf_edges(spark, docs, empty, rows):
     assert crf_quality.score(empty, model).count() == 0
 
 
+def plain_features(text):
+    """(bytes, features) of each line with a word, one line at a time; of a text without words one empty line."""
+    upper, lower = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set(b"abcdefghijklmnopqrstuvwxyz") | set(range(0xC3, 256))
+    raw = (text or "").encode()
+    every, out, before = raw.split(), [], set()
+    runs = Counter(tuple(every[i : i + 5]) for i in range(len(every) - 4))
+    covered = {j for i in range(len(every) - 4) if runs[tuple(every[i : i + 5])] > 1 for j in range(i, i + 5)}
+    at = 0
+    for line in [x + b"\n" for x in raw.split(b"\n")[:-1]] + raw.split(b"\n")[-1:]:
+        w = line.split()
+        if not w:
+            continue
+        n, size = len(w), len(line)
+        has = lambda chars: sum(c in chars for c in line)
+        ups, letters = has(upper), max(1, has(upper) + has(lower))
+        symbols = has(b"#*$%&|<>=~^_{}\\@+") / size
+        same = sum(x == y for x, y in zip(w, w[1:])) / n
+        rep = sum(j in covered for j in range(at, at + n)) / n
+        out.append((size, [
+            np.log1p(size) / 8, np.log1p(n) / 6, min(size / n, 30) / 10, ups / letters, ups > 0.6 * letters, symbols * 5, symbols > 0.04, has(b"0123456789") / size * 5, min(has(b"!") / n, 2), has(b"|-_/") / size * 5,
+            same, same > 0.15, len(set(w)) / n, len(set(w)) / n < 0.5, rep, rep > 0.3, tuple(w) in before, w[-1][-1] in b".!?:;\"')", w[0][0] in upper, n < 4]))
+        before.add(tuple(w))
+        at += n
+    return out or [(1, [0.0] * len(crf_quality.FEATURES))]
+
+
+def test_line_features_against_one_line_at_a_time(rows):
+    import pyarrow as pa
+
+    texts = [r[1] for r in rows] + ["A | B | c\nTWO TWO TWO!!\nTWO TWO TWO!!\n\n x_y 12%\n", "\n\n", "é È ß.", "one\n" * 3]
+    for most in (1 << 20, 1):  # all rows in a step, and each in its own
+        got = []
+        for lo, hi, data, offsets in common.text_steps(pa.array(texts), most):
+            row, weight, x = crf_quality.line_features(data, offsets)
+            got += [[(w, f) for r, w, f in zip(row, weight, x) if r == i] for i in range(hi - lo)]
+        for text, lines in zip(texts, got):
+            want = plain_features(text)
+            assert [w for w, _ in lines] == [w for w, _ in want] and np.allclose([f for _, f in lines], np.array([f for _, f in want], float), atol=1e-5), text
+
+
+def test_lines_are_told_apart():
+    """Bad documents that are half clean: the field finds which half, though it learns from documents' labels alone."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    clean = lambda: " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(6, 12))).capitalize() + "."
+    junk = lambda: " | ".join(rng.choice(VOCABULARY).upper() for _ in range(rng.randint(6, 12))) + " %%%"
+    texts, good, truth = [], [], []
+    for i in range(200):
+        kinds = [1.0] * rng.randint(4, 10)
+        if i % 3 == 0:
+            kinds += [0.0] * len(kinds)
+            if i % 2:
+                kinds.reverse()
+        texts.append("\n".join(clean() if k else junk() for k in kinds))
+        good.append(float(i % 3 > 0))
+        truth += kinds
+    _, _, data, offsets = next(common.text_steps(pa.array(texts), 1 << 24))
+    row, weight, x = crf_quality.line_features(data, offsets)
+    model = crf_quality.fit_documents(row, weight, x, np.array(good))
+    p = crf_quality.score_lines(model, row, x)
+    assert np.mean((p >= 0.5) == np.array(truth)) > 0.97
+    scores = crf_quality.document_scores(row, weight, p, len(good))
+    assert np.allclose(scores, [np.dot(p[row == i], weight[row == i]) / weight[row == i].sum() for i in range(len(good))])
+    slope, intercept = model["curve"]
+    assert np.mean((slope * scores + intercept > 0) == np.array(good)) > 0.97 and slope > 0
+    stay, change = model["trans"][0, 0] + model["trans"][1, 1], model["trans"][0, 1] + model["trans"][1, 0]
+    assert stay > change and np.isfinite(model["trans"]).all()
+
+
+def test_crf_query_edges(spark, tmp_path, rows):
+    """Through the query: blanks, repeated rows, extra and clashing columns, no table rows; reruns agree."""
+    odd = spark.createDataFrame([(*r[:4], 1, "x", 2.0) for r in rows] + [(7, "z " * 200_000, "en", "s", 1, "x", 2.0)], "doc_id long, text string, lang string, source string, good int, th string, score double")
+    odd.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    run = lambda: sorted(crf_quality.op2_crf_quality(spark, f"{tmp_path}/a").collect(), key=str)
+    out = run()
+    assert len(out) == len(rows) + 1 and all(0 <= r["score"] <= 1 for r in out) and out == run()
+    assert Counter(r["doc_id"] for r in out) == Counter([r[0] for r in rows] + [7])
+    assert len({r["score"] for r in out if r["doc_id"] in (40, 41, 42)}) == 1  # null, empty and blank alike
+    odd.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/a/labels.parquet").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert crf_quality.op2_crf_quality(spark, f"{tmp_path}/b").count() == 0
+
+
 # --- 3 and 5: repeats -------------------------------------------------------------------------------
 
 
