@@ -6,10 +6,14 @@ anchor in about (length - gram) / 2 words. Consecutive windows with one anchor f
 
 * an anchor hash that occurs once proves its windows unique;
 * one whose blocks are all equal (least and greatest block hash agree) proves all of them repeated;
-* only what is left, around the ends of shared passages, is expanded to single windows.
+* only what is left, around the ends of shared passages, is looked at window by window.
 
 Hashes have 64 bits; a false repeat needs two different windows that agree in the anchor's hash and
 in their own. Texts are told apart by (doc_id, hash of the text); rows equal in both are equal.
+
+Defined cases: null and empty texts and those under ``length`` words have no window; a very long text
+is a step of its own and held whole by one task; repeated rows give rows each; ids may be null; other
+columns are not read, whatever their names; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import hash_runs, hash_spans, leftmost_minimum, mix, text_steps, word_bounds, word_sums
 
+#: Share of all rows, and rows at least, from which on a key is joined apart.
+HOT, HOT_ROWS = 1000, 1000
 _GAP, _REACH = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -33,19 +39,19 @@ def same_text(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _steps(column: pa.Array):
-    """(rows, their words' first index, number of words of each row, prefix sums) of each step."""
+    """(first row, row of each word, their words' first index, number of words of each row, hashes of words) of each step."""
     for lo, hi, data, offsets in text_steps(column):
         starts, ends, row = word_bounds(data, offsets)
         counts = np.bincount(row, minlength=hi - lo) if len(row) else np.zeros(hi - lo, np.int64)
-        yield lo, row, np.concatenate([[0], np.cumsum(counts)[:-1]]), counts, word_sums(hash_spans(data, starts, ends))
+        yield lo, row, np.concatenate([[0], np.cumsum(counts)[:-1]]), counts, hash_spans(data, starts, ends)
 
 
 def _blocks(length: int, gram: int):
     def run(batches):
         for batch in batches:
             ids, ths = batch.column("doc_id"), batch.column("th")
-            for lo, row, base, _, sums in _steps(batch.column("text")):
-                n = len(row)
+            for lo, row, base, _, hashes in _steps(batch.column("text")):
+                n, sums = len(row), word_sums(hashes)
                 if n < length:
                     continue
                 at = np.arange(n - gram + 1)
@@ -61,17 +67,17 @@ def _blocks(length: int, gram: int):
                 r = row[first]
                 take = pa.array(lo + r)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), ths.take(take), pa.array((first - base[r]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(grams[p].view(np.int64)), pa.array(block.view(np.int64))],
-                    ["doc_id", "th", "start", "n", "anchor", "block"],
+                    [ids.take(take), ths.take(take), pa.array((first - base[r]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((p - first).astype(np.int32)), pa.array(grams[p].view(np.int64)), pa.array(block.view(np.int64))],
+                    ["doc_id", "th", "start", "n", "off", "anchor", "block"],
                 )
 
     return run
 
 
 def blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, th, start, n, anchor, block): windows ``start`` to ``start + n - 1`` of a text share an anchor."""
+    """(doc_id, th, start, n, off, anchor, block): windows ``start`` to ``start + n - 1`` of a text share an anchor, at word ``start + off``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed(docs).mapInArrow(_blocks(length, gram), f"doc_id {kind}, th bigint, start int, n int, anchor bigint, block bigint")
+    return keyed(docs).mapInArrow(_blocks(length, gram), f"doc_id {kind}, th bigint, start int, n int, off int, anchor bigint, block bigint")
 
 
 def summed(found: DataFrame) -> DataFrame:
@@ -80,15 +86,29 @@ def summed(found: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(index: DataFrame) -> DataFrame:
-    return index.filter("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("whole"))
+    return index.filter("n > 1").select("anchor", "n", (F.col("least") == F.col("most")).alias("whole"))
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], scratch, name: str) -> DataFrame:
+    """``rows`` joined with ``counts`` (keys, n, anything), a row for each key with ``n``, how many of ``rows`` have it.
+
+    A key with a HOT-th of all counted rows or more would fill one task; there are at most HOT such
+    keys, whatever the data, so their rows stay where they are and meet them by a broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    extra = [c for c in counts.columns if c not in keys and c != "n"]
+    own = counts.select(*keys, F.col("n").alias("_n"), *extra)
+    hot = scratch.save(own.filter(F.col("_n") * HOT >= max(total, HOT * HOT_ROWS)), name).drop("_n")  # at most HOT rows
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(own.drop("_n"), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
 
 
 def _windows(length: int):
     def run(batches):
         for batch in batches:
             ids, ths, spans = batch.column("doc_id"), batch.column("th"), batch.column("spans")
-            for lo, row, base, counts, sums in _steps(batch.column("text")):
-                part = spans.slice(lo, len(counts))
+            for lo, row, base, counts, hashes in _steps(batch.column("text")):
+                sums, part = word_sums(hashes), spans.slice(lo, len(counts))
                 flat, sizes = part.flatten(), np.diff(part.offsets.to_numpy())
                 r = np.repeat(np.arange(len(counts)), sizes)
                 n = flat.field("n").to_numpy().astype(np.int64)

@@ -121,8 +121,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         index.append(found.filter(F.col("batch") == b))
     again = scratch.save(index.repeated(), "repeated")
     index.close()
-    hits = scratch.save(found.join(again, "anchor").select("doc_id", "th", "start", "n", "anchor", "whole"), "hits")
-    scratch.drop("blocks", "repeated")
+    hits = scratch.save(repeats.join_counted(found, again, ["anchor"], scratch, "hot_anchors").select("doc_id", "th", "start", "n", "anchor", "whole"), "hits")
+    scratch.drop("blocks", "repeated", "hot_anchors")
     windows = scratch.save(repeats.open_windows(docs, hits, WINDOW), "windows")
     twice = windows.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor", "w")
     verified = windows.join(twice, ["anchor", "w"]).select("doc_id", "th", "start")

@@ -306,17 +306,77 @@ def test_index_is_incremental(spark, docs):
     index.close()
 
 
-def test_suffix_array(spark, docs, rows):
-    got = {tuple(r) for r in suffix_array.repeated_passages(docs).collect()}
-    want = set()
-    for r, (w, g) in zip(rows, repeated_words(rows, 50)):
+def repeated_runs(rows, length):
+    out = Counter()
+    for r, (w, g) in zip(rows, repeated_words(rows, length)):
         at = 0
         for on, run in itertools.groupby(g):
             n = len(list(run))
             if on:
-                want.add((r[0], at, at + n))
+                out[(r[0], at, at + n)] += 1
             at += n
-    assert got == want and len(want) > 5
+    return out
+
+
+def test_suffix_array(spark, docs, rows):
+    got = Counter(tuple(r) for r in suffix_array.repeated_passages(docs).collect())
+    assert got == repeated_runs(rows, 50) and len(got) > 5 and max(got.values()) >= 3  # of three equal rows each has its own
+
+
+def crossing_rows(rng, n):
+    """Texts around common cores whose longest left and right extensions belong to different texts."""
+    cores = [passage(rng, 14) for _ in range(3)]
+    lefts, rights = [passage(rng, 45).split() for _ in range(3)], [passage(rng, 45).split() for _ in range(3)]
+    out = []
+    for i in range(n):
+        left, right = rng.choice(lefts)[-rng.randint(0, 45) or 45 :], rng.choice(rights)[: rng.randint(0, 45)]
+        text = passage(rng, rng.randint(0, 9)).split() + left + rng.choice(cores).split() + right + passage(rng, rng.randint(0, 9)).split()
+        out.append((i if i % 7 else None, " ".join(text), "en", "s", 0))
+    return out
+
+
+def test_suffix_array_where_left_and_right_belong_to_different_texts(spark):
+    rows = crossing_rows(random.Random(12), 300)
+    want = repeated_runs(rows, 50)
+    for parts in ("1", "4", "60"):  # with 60 ranges most rows lie at the edge of one
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = Counter(tuple(r) for r in suffix_array.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == want and sum(want.values()) > 20
+
+
+def test_suffixes_are_in_order_and_extended(spark, docs, rows):
+    """The order is that of the words after the anchor; extensions are those of every pair of neighbours, word by word."""
+    scratch = common.Scratch(spark)
+    found = repeats.blocks(docs, 50, 12)
+    hits = found.join(repeats.repeated_anchors(repeats.summed(found)).drop("n"), "anchor").withColumn("whole", F.lit(False))
+    ordered = suffix_array._in_order(scratch.save(suffix_array.suffixes(docs, hits), "s"), True, 3)
+    parts = ordered.withColumn("part", F.spark_partition_id()).collect()
+    for part in {r["part"] for r in parts}:
+        own = [r for r in parts if r["part"] == part]
+        keys = [(r["anchor"], bytes(r["right"]), bytes(r["left"])) for r in own]
+        assert keys == sorted(keys) and len(own) > 2
+        for a, r, b in zip(own, own[1:], own[2:]):
+            mask = 0
+            for x in (a, b):
+                if x["anchor"] == r["anchor"]:
+                    cut = lambda v: [bytes(v[i : i + 5]) for i in range(0, len(v), 5)]
+                    same = lambda c: next((i for i, (p, q) in enumerate(zip(cut(r[c]), cut(x[c]))) if p != q), min(len(r[c]), len(x[c])) // 5)
+                    mask |= sum(1 << k for k in range(r["n"]) if r["off"] - k <= same("left") and 38 - (r["off"] - k) <= same("right"))
+            assert r["mask"] == mask
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 10)
+    monkeypatch.setattr(repeats, "HOT_ROWS", 10)
+    rows = spark.range(500).select((F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 40)).alias("k"), "id", F.lit("x").alias("n"))
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("twice", F.col("n") > 4)
+    got = repeats.join_counted(rows, counts, ["k"], common.Scratch(spark), "hot")
+    assert sorted(map(tuple, got.select("k", "id", "n", "twice").collect())) == sorted(map(tuple, rows.join(counts.drop("n"), "k").select("k", "id", "n", "twice").collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 
 
 def test_repeats_edges(spark, empty, docs):
