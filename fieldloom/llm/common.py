@@ -80,9 +80,10 @@ class Scratch:
             base = "file:///tmp/checkpoints"
         self.root = f"{base.rstrip('/')}/fieldloom-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """``df`` written and reread; in a folder for each value of ``by``, of which there should be few."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

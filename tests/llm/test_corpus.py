@@ -293,17 +293,47 @@ def test_substring_index(spark, sf, rows):
     assert got == want and sum(n for (_, _, n, _) in got) > 0
 
 
-def test_index_is_incremental(spark, docs):
-    a, b = docs.filter("doc_id < 63"), docs.filter("doc_id >= 63 AND doc_id < 70")
-    index = substring_index.FingerprintIndex(common.Scratch(spark), 8)
-    first, second = (repeats.blocks(x, 35, 10) for x in (a, b))
-    index.append(first)
-    assert index.seen(second).count() == second.select("anchor").distinct().count() > 0  # all copies of known texts
-    index.append(second)
-    assert len(index.runs) == 1  # compacted
-    both = {tuple(r) for r in repeats.repeated_anchors(repeats.summed(first.unionByName(second))).collect()}
-    assert {tuple(r) for r in index.repeated().collect()} == both
-    index.close()
+def test_index_is_incremental(spark, docs, rows, tmp_path):
+    """Batch by batch, each merge-joined with the runs before it, over a reopened index; texts are cut against all seen so far."""
+    cuts = [(None, 43), (43, 63), (63, 70), (70, 99)]
+    parts = [[r for r in rows if (r[0] if r[0] is not None else -1) >= (lo or -1) and (r[0] if r[0] is not None else -1) < hi] for lo, hi in cuts]
+    assert sum(map(len, parts)) == len(rows)
+    scratch, root = common.Scratch(spark), f"file://{tmp_path}/index"
+    index, past, levels = substring_index.FingerprintIndex(spark, root, 8), [], []
+    for i, part in enumerate(parts):
+        batch = spark.createDataFrame(part, SCHEMA)
+        sums = repeats.summed(repeats.blocks(batch, 35, 10))
+        if index.runs:
+            plan = index.seen(scratch.save(sums, f"sums{i}"))._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") <= 1  # the runs are not shuffled
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_index.remove_repeats(batch, 1, index, spark.createDataFrame(past, SCHEMA) if past else None).collect())
+        want = repeated_words(past + part, 35)[len(past) :]
+        assert got == Counter((r[0], len(w), sum(g)) for r, (w, g) in zip(part, want))
+        past += part
+        levels.append([level for _, level in index.runs])
+        for name, _ in index.runs:
+            spark.sql(f"DROP TABLE {name}")  # another session knows no table
+        index = substring_index.FingerprintIndex.open(spark, root)
+        assert index.buckets == 8
+    assert levels == [[0], [0, 0], [1, 0], [1, 0, 0]]
+    index.compact()
+    assert [level for _, level in index.runs] == [2]
+    kept = {tuple(r) for r in spark.table(index.runs[0][0]).collect()}
+    assert kept == {tuple(r) for r in repeats.summed(repeats.blocks(docs, 35, 10)).select("anchor", "n", "least", "most").collect()}
+    with pytest.raises(ValueError):
+        substring_index.remove_repeats(docs, 1, index)
+    index.drop()
+    with pytest.raises(ValueError):
+        substring_index.FingerprintIndex.open(spark, root)
+
+
+def test_substring_index_query_edges(spark, tmp_path, rows):
+    odd = spark.createDataFrame([(*r[:4], 1, 2, "x") for r in rows], "doc_id long, text string, lang string, source string, th int, anchor int, spans string")
+    for name, df in (("a", odd), ("b", odd.limit(0)), ("c", odd.filter("doc_id IN (40, 41, 42)"))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_index.op5_substring_index(spark, f"{tmp_path}/{name}").collect())
+        some = [r for r in rows if name == "a" or (name == "c" and r[0] in (40, 41, 42))]
+        assert got == Counter((r[0], len(w), sum(g)) for r, (w, g) in zip(some, repeated_words(some, 35)))
 
 
 def repeated_runs(rows, length):
