@@ -17,6 +17,8 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; a longer single text is handled alone.
 STEP_BYTES = 1 << 20
+#: Share of all rows, and rows at least, from which on a key is joined apart.
+HOT, HOT_ROWS = 1000, 1000
 #: Bytes of a split of a table's files, by default.
 SPLIT_BYTES = 128 << 20
 
@@ -94,6 +96,20 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` joined with ``counts`` (keys, n, anything), a row for each key with ``n``, how many of ``rows`` have it.
+
+    A key with a HOT-th of all counted rows or more would fill one task; there are at most HOT such
+    keys, whatever the data, so their rows stay where they are and meet them by a broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    extra = [c for c in counts.columns if c not in keys and c != "n"]
+    own = counts.select(*keys, F.col("n").alias("_n"), *extra)
+    hot = scratch.save(own.filter(F.col("_n") * HOT >= max(total, HOT * HOT_ROWS)), name).drop("_n")  # at most HOT rows
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(own.drop("_n"), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 # --- byte-level arrays -------------------------------------------------------------------------
 
 _SEP = np.zeros(256, bool)

@@ -7,13 +7,16 @@ than the whole space, so some t is orthogonal to all of them: in its table the p
 
 Exact copies meet first, in one row a fingerprint. Table rows whose masked value is alone are left
 out. A bucket of up to CAP fingerprints is compared within itself and gives a star for each component of its
-links, not all pairs; a larger bucket is dealt out again by the same construction over the bits that its
-mask ignored, so that each level halves the bits left and the last buckets are small by counting
-alone. Nothing is dropped. Links then meet in connected components.
+links, not all pairs. A larger bucket that lies within another large one has no pair of its own; the others
+are dealt out once more, by the same construction over the bits that their mask ignored. Then a
+bucket's fingerprints agree on all but DEEP_BITS bits at most, so by counting alone it fits a task,
+whatever the data. Nothing is dropped. Links then meet in connected components.
 
 Defined cases: null, empty and blank texts have fingerprint 0, and link with each other like any
 other; component_id is the least non-null doc_id reachable, null where there is none; repeated rows
-and ids give a row each; an empty table gives an empty result.
+and ids give a row each; a very long text is hashed whole, in a step of its own; other columns are not read
+or, by :func:`drop_near_duplicates`, kept, whatever their names; of documents with equal ids in a component
+the least text stays, and of rows equal in all columns one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Scratch, table
+from fieldloom.llm.common import Scratch, table, text_steps
 from fieldloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a bucket that are compared within one task.
 CAP = 2048
+#: Bits that the masks of two deals leave free, at most.
+DEEP_BITS = 17
 _ALL = (1 << 64) - 1
 _BATCH = 1 << 20  # hashes that meet in one step
 
@@ -67,15 +72,15 @@ def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        done, hashes, counts = [], [], []
-        for text in batch.column("text").to_pylist():
-            h = _hashes(text)
-            hashes += h
-            counts.append(len(h))
-            if len(hashes) >= _BATCH:
+        done, hashes, counts, column = [np.zeros(0, np.uint64)], [], [], batch.column("text")
+        for lo, hi, _, _ in text_steps(column):
+            for text in column.slice(lo, hi - lo).to_pylist():
+                h = _hashes(text)
+                hashes += h
+                counts.append(len(h))
+            if len(hashes) >= _BATCH or hi == len(column):
                 done.append(_majority(hashes, counts))
                 hashes, counts = [], []
-        done.append(_majority(hashes, counts))
         fp = pa.array(np.concatenate(done).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "text"] + [fp], [c for c in batch.schema.names if c != "text"] + ["fp"])
 
@@ -104,7 +109,7 @@ def _stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     while len(left):
         root, left, front = left[0], left[1:], left[:1]
         while len(front) and len(left):
-            now, front = front[:256], front[256:]
+            now, front = front[:64], front[64:]
             hit = (np.bitwise_count(fps[now][:, None] ^ fps[left][None, :]) <= radius).any(axis=0)
             new, left = left[hit], left[~hit]
             front = np.concatenate([front, new])
@@ -143,31 +148,46 @@ def _bucket_links(radius: int):
     return run
 
 
+def deep_masks(radius: int = RADIUS) -> list[tuple[int, int, int]]:
+    """(table, i, mask): covering masks over the bits that each table's mask leaves free."""
+    out = [(t, i, m) for t, first in enumerate(covering_masks(radius=radius)) for i, m in enumerate(covering_masks(_ALL & ~first, radius))]
+    return out
+
+
+def _widest(hot: DataFrame, masks: DataFrame) -> DataFrame:
+    """(t, masked) of the large buckets ``hot`` (t, masked, n, least, differs) that no other one holds: a bucket that agrees on another table's mask lies within a bucket of that table."""
+    agrees = F.col("m").bitwiseAND(F.col("differs")) == 0
+    held = hot.join(F.broadcast(masks.select(F.col("t").alias("other"), "m")), agrees & (F.col("t") != F.col("other")))  # a row a table and large bucket at most
+    held = held.select("t", "masked", "n", "other", F.col("least").bitwiseAND(F.col("m")).alias("theirs"))
+    by = hot.select(F.col("t").alias("other"), F.col("masked").alias("theirs"), F.col("n").alias("wider"))
+    within = held.join(by, ["other", "theirs"]).filter((F.col("wider") > F.col("n")) | (F.col("other") < F.col("t"))).select("t", "masked").distinct()
+    return hot.select("t", "masked").join(within, ["t", "masked"], "left_anti")
+
+
 def near_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     """(a, b) of distinct fingerprints ``fp``: links whose components are those of all pairs within ``radius`` bits."""
-    tables = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("masked"), F.lit(_signed(_ALL & ~m)).alias("free")) for i, m in enumerate(covering_masks(radius=radius))]
+    spark, first = distinct.sparkSession, [_signed(m) for m in covering_masks(radius=radius)]
+    masks = spark.createDataFrame(list(enumerate(first)), "t int, m bigint")
+
+    def linked(rows: DataFrame, buckets: DataFrame, name: str) -> DataFrame:
+        dealt = rows.join(buckets, ["t", "masked"]).select("t", "masked", "fp").repartition("t", "masked").sortWithinPartitions("t", "masked", "fp")
+        return scratch.save(dealt.mapInArrow(_bucket_links(radius), "a bigint, b bigint").distinct(), name)
+
+    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("masked")) for t, m in enumerate(first)]
     rows = distinct.select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.*")
-    found, level, width = [], 0, len(tables)
-    while True:
-        sizes = rows.groupBy("t", "masked").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sizes = scratch.save(sizes, f"buckets{level}")
-        fit, over = sizes.filter(F.col("n") <= cap).drop("n"), sizes.filter(F.col("n") > cap).drop("n")
-        dealt = rows.join(fit, ["t", "masked"]).select("t", "masked", "fp").repartition("t", "masked").sortWithinPartitions("t", "masked", "fp")
-        found.append(scratch.save(dealt.mapInArrow(_bucket_links(radius), "a bigint, b bigint").distinct(), f"links{level}"))
-        if over.isEmpty():
-            break
-        hot = scratch.save(rows.join(over, ["t", "masked"]), f"hot{level}")
-        frees = [r[0] for r in hot.select("free").distinct().collect()]  # one for each path of masks: a number of the construction, not of the data
-        masks = F.create_map(*[y for f in frees for y in (F.lit(f), F.array(*[F.lit(_signed(m)) for m in covering_masks(f & _ALL, radius)]))])
-        deeper = hot.select("fp", "t", "masked", "free", F.posexplode(F.element_at(masks, F.col("free"))).alias("i", "m"))
-        rows = deeper.select("fp", (F.col("t") * F.lit(width) + F.col("i")).cast("int").alias("t"), F.col("masked").bitwiseOR(F.col("fp").bitwiseAND(F.col("m"))).alias("masked"), F.col("free").bitwiseAND(F.bitwise_not("m")).alias("free"))
-        level += 1
-        if level > 3:
-            cap = 1 << 62  # at most 2**7 fingerprints agree on all but the few bits left
-    whole = found[0]
-    for f in found[1:]:
-        whole = whole.unionByName(f)
-    return whole.distinct()
+    sizes = rows.groupBy("t", "masked").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("differs")).filter("n > 1")
+    sizes = scratch.save(sizes, "buckets")
+    found = linked(rows, sizes.filter(F.col("n") <= cap).select("t", "masked"), "links")
+    hot = sizes.filter(F.col("n") > cap)
+    if hot.isEmpty():
+        return found
+    kinds = len(first)
+    deeper = [(t, t * kinds + i, _signed(m)) for t, i, m in deep_masks(radius)]
+    wide = scratch.save(_widest(hot, masks), "hot")
+    table = F.broadcast(spark.createDataFrame(deeper, "t int, deep int, m bigint"))  # kinds * kinds rows
+    again = rows.join(wide, ["t", "masked"]).join(table, "t").select(F.col("deep").alias("t"), F.col("masked").bitwiseOR(F.col("fp").bitwiseAND(F.col("m"))).alias("masked"), "fp")
+    small = scratch.save(again.groupBy("t", "masked").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "masked"), "deep_buckets")
+    return found.unionByName(linked(again, small, "deep_links")).distinct()
 
 
 def cluster(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import repeats
-from fieldloom.llm.common import Scratch, table, text_steps, word_bounds
+from fieldloom.llm.common import Scratch, join_counted, table, text_steps, word_bounds
 
 WINDOW, GRAM = 35, 10
 #: Batches in which the query feeds its table to the index: the third finds the first two compacted.
@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, index: FingerprintIn
     scratch.drop(*[f"batch{b}_seen" for b in range(batches)])
     if index is None:
         own.drop()
-    hits = scratch.save(repeats.join_counted(found, again, ["anchor"], scratch, "hot_anchors").select("doc_id", "th", "start", "n", "anchor", "whole"), "hits")
+    hits = scratch.save(join_counted(found, again, ["anchor"], scratch, "hot_anchors").select("doc_id", "th", "start", "n", "anchor", "whole"), "hits")
     windows = scratch.save(repeats.open_windows(docs, hits, WINDOW), "windows")
     every = windows.select("anchor", "w")
     if history is not None:
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, index: FingerprintIn
         every = every.unionByName(repeats.open_windows(history, scratch.save(known.drop("off", "block"), "known"), WINDOW).select("anchor", "w"))
     scratch.drop("blocks", "hot_anchors")
     twice = scratch.save(every.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
-    verified = repeats.join_counted(windows, twice, ["anchor", "w"], scratch, "hot_windows").select("doc_id", "th", "start")
+    verified = join_counted(windows, twice, ["anchor", "w"], scratch, "hot_windows").select("doc_id", "th", "start")
     spans = scratch.save(repeats.spans_of(hits, verified), "spans")
     scratch.drop("windows", "hits", "twice", "repeated", "hot_windows", "known")
     texts = repeats.keyed(docs)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import repeats
-from fieldloom.llm.common import Scratch, table
+from fieldloom.llm.common import Scratch, join_counted, table
 
 LENGTH, GRAM = 50, 12
 #: Words that a window holds beside its anchor, and bytes of a word in ``right`` and ``left``.
@@ -181,11 +181,11 @@ def _unsure(rows: DataFrame) -> DataFrame:
 
 def _settle(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, th, start, mask) of the windows still open that the candidates of their anchor repeat."""
-    some = repeats.join_counted(rows.filter("open <> 0"), scratch.save(_unsure(rows), "unsettled"), ["anchor"], scratch, "hot_unsettled")
+    some = join_counted(rows.filter("open <> 0"), scratch.save(_unsure(rows), "unsettled"), ["anchor"], scratch, "hot_unsettled")
     each = some.withColumn("k", F.explode(F.expr("filter(sequence(0, n - 1), i -> shiftright(open, i) & 1 = 1 and array_contains(places, off - i))")))
     each = scratch.save(each.select("doc_id", "th", "start", "k", F.expr("shiftright(open & ~mask, k) & 1 = 1").alias("unsure"), "anchor", _window_hash(F.col("off") - F.col("k")).alias("w")), "whole_windows")
     counts = each.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = repeats.join_counted(each.filter("unsure"), counts, ["anchor", "w"], scratch, "hot_windows")
+    found = join_counted(each.filter("unsure"), counts, ["anchor", "w"], scratch, "hot_windows")
     return found.select("doc_id", "th", "start", F.expr("shiftleft(1L, k)").alias("mask"))
 
 
@@ -211,7 +211,7 @@ def suffix_array(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, th, start, mask, own): for each retained suffix of each row, which windows of its anchor are repeated; ``own`` is 1 in one row a suffix."""
     found = scratch.save(repeats.blocks(docs, LENGTH, GRAM), "blocks")
     again = scratch.save(repeats.repeated_anchors(repeats.summed(found)), "repeated")
-    hits = scratch.save(repeats.join_counted(found, again, ["anchor"], scratch, "hot_anchors").select("doc_id", "th", "start", "n", "off", "anchor", "whole"), "hits")
+    hits = scratch.save(join_counted(found, again, ["anchor"], scratch, "hot_anchors").select("doc_id", "th", "start", "n", "off", "anchor", "whole"), "hits")
     total = again.agg(F.sum("n")).first()[0] or 0
     scratch.drop("blocks", "repeated", "hot_anchors")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
@@ -222,7 +222,7 @@ def suffix_array(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = scratch.save(first.select("doc_id", "th", "start", "n", "off", "anchor", *words, "whole", "mask", "open"), "first_order")
     scratch.drop("suffixes")
     unsure = scratch.save(_unsure(first), "unsure")
-    second = scratch.save(repeats.join_counted(first.filter("open <> 0"), unsure, ["anchor"], scratch, "hot_unsure").drop("places"), "candidates")
+    second = scratch.save(join_counted(first.filter("open <> 0"), unsure, ["anchor"], scratch, "hot_unsure").drop("places"), "candidates")
     second = scratch.save(_in_order(second, False, parts), "second_order")
     parts_of = [first.select("doc_id", "th", "start", "mask", F.lit(1).alias("own"))]
     parts_of += [x.select("doc_id", "th", "start", "mask", F.lit(0).alias("own")) for x in (second, _settle(second, scratch))]

@@ -399,11 +399,11 @@ def test_suffixes_are_in_order_and_extended(spark, docs, rows):
 
 
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 10)
-    monkeypatch.setattr(repeats, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     rows = spark.range(500).select((F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 40)).alias("k"), "id", F.lit("x").alias("n"))
     counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("twice", F.col("n") > 4)
-    got = repeats.join_counted(rows, counts, ["k"], common.Scratch(spark), "hot")
+    got = common.join_counted(rows, counts, ["k"], common.Scratch(spark), "hot")
     assert sorted(map(tuple, got.select("k", "id", "n", "twice").collect())) == sorted(map(tuple, rows.join(counts.drop("n"), "k").select("k", "id", "n", "twice").collect()))
     plan = got._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
@@ -669,8 +669,11 @@ def test_covering_and_hot_buckets(spark, monkeypatch):
         for _ in range(3000):
             d = sum(1 << b for b in rng.sample(own, 4))
             assert any(m & d == 0 for m in masks)
+    firsts = simhash.covering_masks()
+    assert max(64 - (firsts[t] | m).bit_count() for t, _, m in simhash.deep_masks()) <= simhash.DEEP_BITS  # what a second deal leaves
     base = rng.getrandbits(64)
     prints = [(i, base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9)))) for i in range(400)]
+    prints += [(400 + i, base ^ sum(1 << b for b in range(14) if i >> b & 1) & ~firsts[3]) for i in range(1 << 14)][:600]
     df = spark.createDataFrame([(i, simhash._signed(p)) for i, p in prints], "doc_id long, fp long")
     plain = simhash.near_links
     monkeypatch.setattr(simhash, "near_links", lambda d, s, r: plain(d, s, r, 8))  # buckets over 8 are dealt out again
@@ -678,6 +681,31 @@ def test_covering_and_hot_buckets(spark, monkeypatch):
     assert [got[i] for i, _ in prints] == brute_components(prints)
 
 
+def test_one_bucket_of_many_fingerprints(spark):
+    """10^5 fingerprints that agree on one table's mask: rows stay within two deals, and links are those of all pairs."""
+    rng = np.random.default_rng(8)
+    mask = simhash.covering_masks()[5]
+    free = [b for b in range(64) if not mask >> b & 1]
+    some = rng.integers(0, 1 << len(free), 100_000)
+    prints = np.unique(sum(((some >> k) & 1).astype(np.uint64) << np.uint64(b) for k, b in enumerate(free)) | np.uint64(mask & 0x0123456789ABCDEF))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    scratch = common.Scratch(spark)
+    links = simhash.near_links(df, scratch)
+    got = {r["node"]: r["root"] for r in components.components(links, scratch).collect()}
+    hot = spark.read.parquet(f"{scratch.root}/buckets").filter(F.col("n") > simhash.CAP)
+    wide = spark.read.parquet(f"{scratch.root}/hot")
+    assert 1 <= wide.count() <= hot.count() and (5, simhash._signed(mask & 0x0123456789ABCDEF)) in {tuple(r) for r in wide.select("t", "masked").collect()}
+    dealt = spark.read.parquet(f"{scratch.root}/buckets").join(wide, ["t", "masked"]).agg(F.sum("n")).first()[0] * len(simhash.covering_masks())
+    assert dealt <= 31 * 2 * len(prints)
+    # brute force on a slice of the fingerprints against all
+    for x in prints[::500]:
+        near = prints[(np.bitwise_count(prints ^ x) <= 4) & (prints != x)]
+        for y in near:
+            a, b = int(x.view(np.int64)), int(y.view(np.int64))
+            assert got[a] == got[b]
+    assert set(got) <= set(prints.view(np.int64).tolist())
+
+
 def test_drop_near_duplicates(spark, docs, rows, empty):
     out = simhash.drop_near_duplicates(docs)
     prints = [(i, print_of(r[1])) for i, r in enumerate(rows)]
