@@ -175,15 +175,15 @@ def near_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, cap:
 
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("masked")) for t, m in enumerate(first)]
     rows = distinct.select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.*")
-    sizes = rows.groupBy("t", "masked").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("differs")).filter("n > 1")
-    sizes = scratch.save(sizes, "buckets")
+    sizes = scratch.save(rows.groupBy("t", "masked").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     found = linked(rows, sizes.filter(F.col("n") <= cap).select("t", "masked"), "links")
     hot = sizes.filter(F.col("n") > cap)
     if hot.isEmpty():
         return found
     kinds = len(first)
     deeper = [(t, t * kinds + i, _signed(m)) for t, i, m in deep_masks(radius)]
-    wide = scratch.save(_widest(hot, masks), "hot")
+    spread = rows.join(hot.select("t", "masked"), ["t", "masked"]).groupBy("t", "masked").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("differs"))
+    wide = scratch.save(_widest(scratch.save(spread, "spread"), masks), "hot")
     table = F.broadcast(spark.createDataFrame(deeper, "t int, deep int, m bigint"))  # kinds * kinds rows
     again = rows.join(wide, ["t", "masked"]).join(table, "t").select(F.col("deep").alias("t"), F.col("masked").bitwiseOR(F.col("fp").bitwiseAND(F.col("m"))).alias("masked"), "fp")
     small = scratch.save(again.groupBy("t", "masked").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "masked"), "deep_buckets")
