@@ -7,13 +7,17 @@ all leaves follow from one histogram of byte sums per prefix:
 
 * the histogram is taken at a depth chosen from the total size, with map-side partial sums, so a
   hot bucket costs one row per task; sums of the shorter prefixes come from that histogram;
+* a prefix that fits, while its parent (one key for two children) does not, is a leaf; a cell meets its leaf
+  at the depths at which there are leaves: those of at most SHALLOW bits by a broadcast of at most
+  2**(SHALLOW + 1) rows, deeper ones by keys that are as many as the prefixes of that depth;
 * rows join their histogram cell, an equi-join on well-mixed bits, which cannot be skewed by a key;
 * cells that are still oversized at that depth go on, alone, with eight more bits.
 
-Defined cases: a null or empty text weighs 0 bytes; no row gives no shard; rows equal in id and
-text share all 60 bits, and where such a group alone passes the limit its copies go to overflow
-pages (``overflow`` 1, 2, ...), as many to a page as fit; a single row over the limit has a page of
-its own. Extra columns are kept; names that clash with the added ones are refused.
+Defined cases: a null or empty text weighs 0 bytes; no row gives no shard; a very long text weighs what it
+weighs, and one over the limit has a shard or page of its own; rows equal in id and text share all
+60 bits, and where such a group alone passes the limit its copies go to overflow pages (``overflow`` 1,
+2, ...), as many to a page as fit. Extra columns are kept, whatever their names; an added column whose name is
+taken, in any case, has underscores after it.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Scratch, table
+from fieldloom.llm.common import Scratch, fresh, table
 
 BITS = 60
 #: Bytes of text that a shard holds at most.
 LIMIT = 1 << 20
 #: Bits of the histogram beyond those that equal shards of the limit would need, and of each further round.
 EXTRA_BITS, ROUND_BITS = 4, 8
+#: Depth up to which leaves are broadcast.
+SHALLOW = 10
 ADDED = ("shard_id", "depth", "overflow", "shard_bytes", "shard_docs")
 
 
@@ -39,67 +45,70 @@ def key_bits(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
-def leaves(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """(cell, depth, shard_bytes, shard_docs) of the cells at depth ``high``; depth is null where no prefix of ``low`` to ``high`` bits fits."""
-    cells = rows.groupBy(F.expr(f"shiftright(_h, {BITS - high})").alias("cell")).agg(F.sum("_b").alias("b"), F.count(F.lit(1)).alias("n"))
-    paths = cells.select("cell", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("d")).withColumn("p", F.expr(f"shiftright(cell, {high} - d)"))
-    nodes = paths.groupBy("d", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs")).filter(F.col("shard_bytes") <= limit)
-    fits = paths.join(nodes, ["d", "p"], "left").withColumn("fit", F.when(F.col("shard_bytes").isNotNull(), F.struct(F.col("d").alias("depth"), "shard_bytes", "shard_docs")))
-    return fits.groupBy("cell").agg(F.min("fit").alias("fit")).select("cell", "fit.*")
+def leaves(cells: DataFrame, low: int, high: int, limit: int, scratch: Scratch, name: str) -> DataFrame:
+    """(cell, depth, shard_bytes, shard_docs) of those ``cells`` (cell, b, n; of depth ``high``) that a prefix of ``low`` to ``high`` bits takes."""
+    at = lambda depths: cells.select("cell", "b", "n", F.explode(depths).alias("depth")).withColumn("p", F.expr(f"shiftright(cell, {high} - depth)"))
+    sums = at(F.sequence(F.lit(low), F.lit(high))).groupBy("depth", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
+    fits = scratch.save(sums.filter(F.col("shard_bytes") <= limit), f"{name}_fits")
+    parent = fits.select((F.col("depth") + 1).alias("depth"), F.col("p").alias("above"))
+    found = scratch.save(fits.withColumn("above", F.expr("shiftright(p, 1)")).join(parent, ["depth", "above"], "left_anti").drop("above"), f"{name}_leaves")
+    depths = sorted(r[0] for r in found.select("depth").distinct().collect())  # at most BITS + 1 numbers
+    paths = at(F.array(*[F.lit(d) for d in depths]) if depths else F.expr("cast(array() as array<int>)")).drop("b", "n")
+    near, far = F.col("depth") <= SHALLOW, F.col("depth") > SHALLOW
+    both = paths.filter(near).join(F.broadcast(found.filter(near)), ["depth", "p"]).unionByName(paths.filter(far).join(found.filter(far), ["depth", "p"]))
+    return both.select("cell", "depth", "shard_bytes", "shard_docs")
 
 
 def shard(df: DataFrame, key: Column, size: Column, limit: int = LIMIT, scratch: Scratch | None = None) -> DataFrame:
     """``df`` with ``shard_id`` (bits, oldest first), ``depth``, ``overflow``, ``shard_bytes`` and ``shard_docs``; every shard and page holds at most ``limit`` bytes unless it is one row."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    if clash := {c.lower() for c in df.columns} & {*ADDED, "_h", "_b", "cell", "copies_"}:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
     scratch = scratch or Scratch(df.sparkSession)
-    names = df.columns
-    rows = df.withColumn("_h", key).withColumn("_b", size.cast("long"))
+    added = fresh(df, *ADDED)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_h"), size.cast("long").alias("_b"))
     total = rows.agg(F.sum("_b")).first()[0] or 0
     low, high = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total) / limit))) + EXTRA_BITS)
     parts, step = [], 0
     while True:
-        found = scratch.save(leaves(rows, low, high, limit), f"cells{step}")
         placed = rows.withColumn("cell", F.expr(f"shiftright(_h, {BITS - high})"))
-        depth = F.col("depth")
-        parts.append(placed.join(found.filter(depth.isNotNull()), "cell").withColumn("overflow", F.lit(0).cast("long")))
-        left = found.filter(depth.isNull()).select("cell")
+        cells = scratch.save(placed.groupBy("cell").agg(F.sum("_b").alias("b"), F.count(F.lit(1)).alias("n")), f"cells{step}")
+        found = scratch.save(leaves(cells, low, high, limit, scratch, f"cells{step}"), f"found{step}")
+        parts.append(placed.join(found, "cell").withColumn("overflow", F.lit(0).cast("long")))
+        left = scratch.save(cells.select("cell").join(found.select("cell"), "cell", "left_anti"), f"left{step}")
         if left.isEmpty():
             break
         rows = placed.join(left, "cell", "left_semi").drop("cell")
         if high == BITS:
-            parts.append(_overflow(rows, names, limit))
+            parts.append(_overflow(rows, limit))
             break
         low, high, step = high + 1, min(BITS, high + ROUND_BITS), step + 1
     bits = F.expr(f"if(depth = 0, '', lpad(bin(shiftright(_h, {BITS} - depth)), depth, '0'))")
-    out = [p.select(*names, bits.alias("shard_id"), "depth", "overflow", "shard_bytes", "shard_docs") for p in parts]
+    out = [p.select("_row", bits.alias("shard_id"), "depth", "overflow", "shard_bytes", "shard_docs") for p in parts]
     whole = out[0]
     for p in out[1:]:
         whole = whole.unionByName(p)
-    return whole
+    return whole.select("_row.*", *[F.col(a).alias(b) for a, b in zip(ADDED, added)])
 
 
-def _overflow(rows: DataFrame, names: list[str], limit: int) -> DataFrame:
+def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Pages of groups whose rows share all bits: equal rows are counted, then dealt out again in two steps, so that no task makes a whole group."""
     per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("_b"), F.lit(1)))).cast("long")
-    kinds = rows.groupBy(*names, "_h", "_b").agg(F.count(F.lit(1)).alias("copies_"))
-    pages = kinds.select("*", per.alias("per_")).select("*", F.explode(F.expr("sequence(0L, (copies_ - 1) div per_)")).alias("page_")).repartition(*[F.col("_h"), F.col("page_")])
-    here = F.expr("least(per_, copies_ - page_ * per_)")
+    kinds = rows.groupBy("_row", "_h", "_b").agg(F.count(F.lit(1)).alias("copies"))
+    pages = kinds.select("*", per.alias("per")).select("*", F.explode(F.expr("sequence(0L, (copies - 1) div per)")).alias("page")).repartition("_h", "page")
+    here = F.expr("least(per, copies - page * per)")
     return (
         pages.withColumn("shard_docs", here).withColumn("shard_bytes", here * F.col("_b")).withColumn("cell", F.explode(F.expr("sequence(1L, shard_docs)")))
-        .withColumn("overflow", F.col("page_") + 1).withColumn("depth", F.lit(BITS))
+        .withColumn("overflow", F.col("page") + 1).withColumn("depth", F.lit(BITS))
     )
 
 
 def directory(shards: DataFrame) -> DataFrame:
-    """The directory: one entry for each prefix of the greatest depth, naming the shard that holds it."""
+    """The directory in runs: the shard of the entries ``first`` to ``last``, which are prefixes of the greatest depth, as numbers. One row a shard, however deep."""
     leaf = shards.select("shard_id", "depth").distinct()
-    depth = leaf.agg(F.max("depth").alias("global_depth"))
-    return leaf.crossJoin(F.broadcast(depth)).select(
-        F.explode(F.expr("sequence(shiftleft(conv(if(depth = 0, '0', shard_id), 2, 10)::bigint, global_depth - depth), shiftleft(conv(if(depth = 0, '0', shard_id), 2, 10)::bigint + 1, global_depth - depth) - 1)")).alias("entry"), "global_depth", "shard_id"
-    )
+    depth = leaf.agg(F.max("depth").alias("global_depth"))  # one row
+    own = F.expr("if(depth = 0, 0L, conv(shard_id, 2, 10)::bigint)")
+    edge = lambda start: F.expr(f"shiftleft(own + {0 if start else 1}L, global_depth - depth)") - (0 if start else 1)
+    return leaf.withColumn("own", own).join(F.broadcast(depth)).select(edge(True).alias("first"), edge(False).alias("last"), "global_depth", "shard_id")
 
 
 def shard_documents(docs: DataFrame, limit: int = LIMIT, whole: bool = False) -> DataFrame:

@@ -134,18 +134,46 @@ def test_sharding_splits_only_what_is_oversized(spark):
     for bits in sizes:  # the parent of every leaf was over the limit
         parent = bits[:-1]
         assert sum(n for b, n in sizes.items() if b.startswith(parent)) > 1000
-    d = sharding.directory(out).collect()
-    assert len(d) == len({r["entry"] for r in d}) and all(format(r["entry"], f"0{r['global_depth']}b").startswith(r["shard_id"]) for r in d)
+    d = sorted(sharding.directory(out).collect())
+    assert d[0]["first"] == 0 and d[-1]["last"] == (1 << d[0]["global_depth"]) - 1 and all(a["last"] + 1 == b["first"] for a, b in zip(d, d[1:]))
+    assert all(format(e, f"0{r['global_depth']}b").startswith(r["shard_id"]) for r in d for e in (r["first"], r["last"]))
+    deep = spark.createDataFrame([(7, "z" * 400, "en", "s0", 400)] * 30 + [(8, "y", "en", "s0", 1)], SCHEMA)
+    pages = {r["shard_id"]: r for r in sharding.directory(sharding.shard_documents(deep, 2000)).collect()}
+    assert len(pages) == 2 and max(r["global_depth"] for r in pages.values()) == 60
+
+
+def test_sharding_of_uneven_cells(spark):
+    """One shallow leaf with many cells, beside one that splits far down: against splitting bucket by bucket."""
+    rng = random.Random(3)
+    rows = [(rng.getrandbits(59) | 1 << 59, 1) for _ in range(400)] + [((0b0001 << 56) + rng.getrandbits(40), 100) for _ in range(300)] + [(5, 5000)]
+    df = spark.createDataFrame(rows, "h long, b long")
+    got = Counter((r["h"], r["b"], r["shard_id"], r["shard_bytes"]) for r in sharding.shard(df, F.col("h"), F.col("b"), 1000).collect())
+    want = Counter()
+
+    def split(part, bits):
+        size = sum(b for _, b in part)
+        if size <= 1000 or len(bits) == 60:
+            want.update((h, b, bits, size) for h, b in part)
+            return
+        for x in "01":
+            split([r for r in part if format(r[0], "060b")[len(bits)] == x], bits + x)
+
+    split(rows, "")
+    assert got == want
 
 
 def test_sharding_edges(spark, empty, docs):
     assert sharding.shard_documents(empty).count() == 0
     one = sharding.shard_documents(docs, 1 << 40).collect()
     assert {(r["shard_id"], r["depth"]) for r in one} == {("", 0)}
-    with pytest.raises(ValueError):
-        sharding.shard_documents(docs.withColumn("depth", F.lit(1)), whole=True)
     with pytest.raises(ValueError):
         sharding.shard_documents(docs, 0)
+    odd = docs.withColumn("Depth", F.lit("own")).withColumn("cell", F.lit(2)).withColumn("_h", F.lit(3)).withColumn("a.b", F.lit(4)).withColumn("copies", F.lit(5))
+    out = sharding.shard_documents(odd.unionByName(odd.filter("doc_id = 70")), 300, whole=True)  # names in the way, and overflow pages
+    assert out.columns == [*odd.columns, "shard_id", "depth_", "overflow", "shard_bytes", "shard_docs"]
+    assert {(r["Depth"], r["cell"], r["a.b"]) for r in out.collect()} == {("own", 2, 4)} and out.agg(F.max("overflow")).first()[0] > 0
+    long = spark.createDataFrame([(1, "x" * 3_000_000, "en", "s", 1), (2, "y", "en", "s", 1)], SCHEMA)
+    assert {r["doc_id"]: r["shard_docs"] for r in sharding.shard_documents(long).collect()} == {1: 1, 2: 1}
 
 
 # --- 2: quality classifier --------------------------------------------------------------------------
