@@ -18,7 +18,9 @@ A phrase under five words is one shingle of all its words, looked up exactly by
 
 Defined cases: null, empty and short texts match nothing; ``scan`` refuses a template under five words,
 ``scan_phrases`` one of five or more, and both an empty one; repeated rows report the same
-matches each; extra columns are ignored. Equal matches in overlapping windows are one row, at the first.
+matches each; a very long text is cut into windows inside its row, and only windows around hits leave it;
+other columns are not read, whatever their names; an empty table of texts or of templates gives an empty
+result. Equal matches in overlapping windows are one row, at the first.
 """
 
 from __future__ import annotations
@@ -98,34 +100,57 @@ def template_table(templates: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """(doc_id, template, first_shingle, containment): windows of each text that hold at least ``contained`` of a template's shingles."""
     spark = docs.sparkSession
-    known = Scratch(spark).save(template_table(templates), "templates")
+    scratch = Scratch(spark)
+    known = scratch.save(template_table(templates), "templates")
     if not known.filter("m < 1 OR template IS NULL").isEmpty():
         raise ValueError(f"a template needs a name and {SHINGLE} words")
     bands = known.select("template", "size", F.explode(_signature(F.col("shingles"))).alias("s")).select("template", "size", "s.band", F.col("s.least.value").alias("value"), F.col("s.least.h").alias("h"))
+    bands = scratch.save(bands, "bands")
     leasts = bands.select("h").distinct()
-    n_leasts = leasts.count()
     rows = docs.select("doc_id", _shingles(license_words(F.col("text"))).alias("shingles")).withColumn("row", F.monotonically_increasing_id())
-    if n_leasts <= SET_BOUND:
-        wanted = [r[0] for r in leasts.collect()]  # at most SET_BOUND numbers
-        hit = lambda x: x.isin(wanted)
-        found = F.filter(F.transform("shingles", lambda x, i: F.when(hit(x), F.struct(x.alias("h"), i.alias("i")))), lambda x: x.isNotNull())
-        rows = rows.withColumn("hits", found).filter(F.size("hits") > 0)
-        places = rows.select("row", "doc_id", "shingles", F.explode("hits").alias("x")).select("row", "doc_id", "shingles", "x.*")
-    else:
-        places = rows.select("row", "doc_id", "shingles", F.posexplode("shingles").alias("i", "h")).join(leasts, "h", "left_semi")
-    sizes = bands.select("h", "size").distinct()
-    own = F.broadcast(sizes) if n_leasts <= SET_BOUND else sizes
-    starts = places.join(own, "h").select("row", "doc_id", "shingles", "size", F.explode(F.expr("sequence(greatest(0, i div size - 1), i div size)")).alias("at"))
-    windows = starts.select("row", "doc_id", "size", (F.col("at") * F.col("size")).alias("start"), F.slice("shingles", F.col("at") * F.col("size") + 1, 2 * F.col("size")).alias("window")).distinct()
-    signed = windows.select("*", F.explode(_signature(F.col("window"))).alias("s")).select("row", "doc_id", "size", "start", "window", "s.band", F.col("s.least.value").alias("value"))
-    pick = F.broadcast if n_leasts <= SET_BOUND else (lambda x: x)
-    candidates = signed.join(pick(bands.select("template", "size", "band", "value")), ["size", "band", "value"]).select("row", "doc_id", "template", "start", "window").distinct()
+    few = leasts.count() <= SET_BOUND
+    if few:
+        by_size = {r["size"]: sorted(r["hs"]) for r in bands.groupBy("size").agg(F.collect_set("h").alias("hs")).collect()}  # at most SET_BOUND numbers, and as many again for a shingle in several classes
+        starts = _starts(by_size)
+        windows = rows.select("row", "doc_id", "shingles", let(_hits(by_size), starts).alias("at"))
+    else:  # shingles travel one by one; a text's own places come back to it as one list
+        rows = scratch.save(rows, "rows")
+        places = rows.select("row", F.posexplode("shingles").alias("i", "h")).join(bands.select("h", "size").distinct(), "h")
+        places = places.select("row", "size", F.explode(F.expr("array_distinct(array(greatest(0, i div size - 1), i div size))")).alias("at")).distinct()
+        windows = rows.join(places.groupBy("row").agg(F.collect_list(F.struct("size", "at")).alias("at")), "row").select("row", "doc_id", "shingles", "at")
+    cut = F.transform("at", lambda x: F.struct(x["size"].alias("size"), (x["at"] * x["size"]).alias("start"), F.slice("shingles", x["at"] * x["size"] + 1, 2 * x["size"]).alias("window")))
+    windows = scratch.save(windows.filter(F.size("at") > 0).select("row", "doc_id", F.explode(cut).alias("x")).select("row", "doc_id", "x.*"), "windows")
+    pick = F.broadcast if few else (lambda x: x)
+    signed = windows.select("row", "size", "start", F.explode(_signature(F.col("window"))).alias("s")).select("row", "size", "start", "s.band", F.col("s.least.value").alias("value"))
+    candidates = signed.join(pick(bands.select("template", "size", "band", "value")), ["size", "band", "value"]).select("row", "size", "start", "template").distinct()
     share = F.size(F.array_intersect("window", "shingles")) / F.col("m")
-    verified = candidates.join(pick(known.select("template", "shingles", "m")), "template").withColumn("containment", share).filter(F.col("containment") >= contained)
+    both = windows.join(candidates, ["row", "size", "start"])
+    verified = both.join(pick(known.select("template", "shingles", "m")), "template").withColumn("containment", share).filter(F.col("containment") >= contained)
     first = F.array_min(F.filter(F.transform("window", lambda x, i: F.when(F.array_contains(F.col("shingles"), x), F.col("start") + i)), lambda x: x.isNotNull()))
     return verified.select("row", "doc_id", "template", first.alias("first_shingle"), "containment").groupBy("row", "doc_id", "template", "first_shingle").agg(F.max("containment").alias("containment")).drop("row")
 
 
+def _hits(by_size: dict[int, list[int]]) -> Column:
+    """(h, i) of the shingles that are any template's least."""
+    wanted = sorted({h for hs in by_size.values() for h in hs})
+    return F.filter(F.transform("shingles", lambda x, i: F.when(x.isin(wanted), F.struct(x.alias("h"), i.alias("i")))), lambda x: x.isNotNull())
+
+
+def _starts(by_size: dict[int, list[int]]):
+    """Of hits, the (size, at) of the windows around them, each once."""
+
+    def of_size(hits: Column, size: int, hs: list[int]) -> Column:
+        own = F.filter(hits, lambda x: x["h"].isin(hs))
+        at = F.flatten(F.transform(own, lambda x: F.array(F.greatest(F.lit(0), F.floor(x["i"] / size) - 1).cast("int"), F.floor(x["i"] / size).cast("int"))))
+        return F.transform(F.array_distinct(at), lambda a: F.struct(F.lit(size).alias("size"), a.alias("at")))
+
+    def of(hits: Column) -> Column:
+        parts = [of_size(hits, size, hs) for size, hs in sorted(by_size.items())]
+        return F.flatten(F.array(*parts)) if parts else F.expr("cast(array() as array<struct<size: int, at: int>>)")
+
+    return of
+
+
 def scan_phrases(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, template, first_shingle, containment): each place of a phrase under five words, by its words; containment is 1."""
     known = Scratch(docs.sparkSession).save(templates.select("template", license_words(F.col("text")).alias("own")).select("template", F.size("own").alias("k"), F.concat_ws(" ", "own").alias("phrase"), F.get("own", F.lit(0)).alias("first")), "phrases")

@@ -546,6 +546,20 @@ def test_license_bands_and_bounds(spark, empty, docs, monkeypatch):
     assert sorted(map(str, license_scan.scan(some, license_scan.built_in(spark)).collect())) == near != []
 
 
+def test_license_hits_in_a_very_long_text(spark, monkeypatch):
+    """10^5 words with a notice at every tenth: windows leave the row, not the row's shingles with every hit."""
+    import time
+
+    gpl = license_scan.TEMPLATES["GPL-3.0 notice"]
+    text = " ".join(f"w{i} " + (gpl if i % 2 else "some filler words that are no notice at all") for i in range(8_000))
+    some = spark.createDataFrame([(1, text, "en", "s", 0, 7), (2, gpl, "en", "s", 0, 7)], SCHEMA + ", row int")  # and a name in the way
+    for bound in (license_scan.SET_BOUND, 0):
+        monkeypatch.setattr(license_scan, "SET_BOUND", bound)
+        began = time.time()
+        got = Counter((r["doc_id"], r["template"]) for r in license_scan.scan(some, license_scan.built_in(spark)).collect())
+        assert got[(2, "GPL-3.0 notice")] == 1 and got[(1, "GPL-3.0 notice")] >= 3_900 and time.time() - began < 60
+
+
 def test_license_later_passages(spark):
     """A text that holds only the warranty clause, or only a middle section, of a licence."""
     folder = Path(license_scan.__file__).parent / "licenses"
