@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Scratch, table, text_steps
+from fieldloom.llm.common import Scratch, byte_steps, table
 from fieldloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -73,7 +73,7 @@ def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
 def _fingerprint_batches(batches):
     for batch in batches:
         done, hashes, counts, column = [np.zeros(0, np.uint64)], [], [], batch.column("text")
-        for lo, hi, _, _ in text_steps(column):
+        for lo, hi in byte_steps(column):
             for text in column.slice(lo, hi - lo).to_pylist():
                 h = _hashes(text)
                 hashes += h

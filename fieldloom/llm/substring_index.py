@@ -26,7 +26,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,7 +134,7 @@ def _cut(batches):
             n_words = np.bincount(row, minlength=hi - lo)
             base = np.cumsum(n_words) - n_words
             part = spans.slice(lo, hi - lo)
-            flat, sizes = part.flatten(), pa.compute.fill_null(pa.compute.list_value_length(part), 0).to_numpy()
+            flat, sizes = part.flatten(), pc.fill_null(pc.list_value_length(part), 0).to_numpy()
             first = np.repeat(base, sizes) + flat.field("start").to_numpy()
             gone = np.zeros(len(starts) + 1, np.int64)
             np.add.at(gone, first, 1)

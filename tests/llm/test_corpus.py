@@ -485,6 +485,19 @@ def test_extraction(spark):
         assert warc.extract(r["html"])[0::3] == by_parser(r["html"])
     for broken in ("<!-- open", "<script>x", "a < b", "<p", "<a href=", "<title>x", "<" * 5000, "<a " * 5000):
         warc.extract(broken)
+    assert warc.extract("a <b c 'd> e")[0] == "a <b c 'd> e" and warc.extract("<p title='>'>x</p>")[0] == "x"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    n = 1 << 20
+    for unit in ("<a ", "<a\"", "<a '\"", "<a b=\"c'", "<", "<a<b", "</", "<!-", "<p title=\"", "<a href='x\" ", "<title>", "<script "):
+        page = unit * (n // len(unit))
+        for text in (page, page + ">", "<p>" + page + "\"'>"):
+            began = time.time()
+            warc.extract(text)
+            assert time.time() - began < 5, unit
 
 
 def test_derived_records(spark, tmp_path):
@@ -506,12 +519,38 @@ def test_reading_responses(spark, tmp_path):
     body = PAGE.encode()
     http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
     head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: {len(http)}\r\n\r\n".encode()
+    (tmp_path / "b.warc").write_bytes(b"")
     (tmp_path / "a.warc").write_bytes(head + http + b"\r\n\r\n" + head.replace(b"response", b"request") + http + b"\r\n\r\n")
     got = warc.read_responses(spark, str(tmp_path / "a.warc"))
     out = warc.derive(got.withColumn("page_id", F.lit(1).cast("long"))).collect()
     assert len(out) == 2 and {r["refers_to"] for r in out} == {"<urn:uuid:1>"} and {r["target_uri"] for r in out} == {"http://a"} and "Server: x" in out[0]["source_header"]
 
 
+def test_reading_many_records(spark, tmp_path):
+    """Plain, gzipped by record, gzipped without saying so, and with the mark between records inside a page: all as by lengths alone."""
+    import gzip
+
+    rng = random.Random(9)
+
+    def record(i, body):
+        http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + body
+        kind = ("response", "request", "response")[i % 3]
+        return f"WARC/1.{i % 2}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://a/{i}\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+    bodies = [rng.randbytes(rng.randint(0, 3000)) + b"\r\n\r\n" * (i % 2) for i in range(60)]
+    odd = [*bodies[:20], b"x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc"]
+    (tmp_path / "plain.warc").write_bytes(b"".join(record(i, b) for i, b in enumerate(bodies)))
+    (tmp_path / "zipped.warc.gz").write_bytes(b"".join(gzip.compress(record(100 + i, b)) for i, b in enumerate(bodies)))
+    (tmp_path / "unnamed.warc").write_bytes(gzip.compress(b"".join(record(200 + i, b) for i, b in enumerate(bodies))))
+    (tmp_path / "odd.warc").write_bytes(b"".join(record(300 + i, b) for i, b in enumerate(odd)))
+    got = Counter((r["record_id"], r["target_uri"], bytes(r["payload"])) for r in warc.read_responses(spark, str(tmp_path)).collect())
+    want = Counter((f"<urn:uuid:{at + i}>", f"http://a/{at + i}", b) for at, many in ((0, bodies), (100, bodies), (200, bodies), (300, odd)) for i, b in enumerate(many) if (at + i) % 3 != 1)
+    assert got == want
+    for name in ("unnamed.warc", "odd.warc"):
+        (tmp_path / name).unlink()
+    assert warc.read_responses(spark, str(tmp_path)).count() == sum(n for (i, _, _), n in want.items() if int(i[10:-1]) < 200)
+
+
 # --- 6: licences ------------------------------------------------------------------------------------
 
 
