@@ -808,7 +808,8 @@ def tokens(text):
             if not core:
                 opens = opens or ends
                 continue
-            if core[0].isdigit():
+            number_now = core[0].isdigit() or core.lower() in decontaminate._NUMBERS
+            if number_now:
                 out.append(("NUM", core.lower()))
             elif core.lower() in decontaminate._UNITS and number:
                 out.append(("UNIT", core.lower()))
@@ -816,7 +817,7 @@ def tokens(text):
                 out.append(("NAME", core.lower()))
             else:
                 out.append((core.lower(), None))
-            number, opens = core[0].isdigit(), ends
+            number, opens = number_now, ends
     return out
 
 
@@ -826,6 +827,9 @@ def brute_contamination(docs, items):
         a, b = tokens(text), tokens(item)
         n = len(b) - 4
         if n <= 0:
+            plain = lambda x: [v or t for t, v in x]
+            if b and any(plain(a)[x : x + len(b)] == plain(b) for x in range(len(a))):
+                out.add((d, i, 1, 1))
             continue
         hit = {}
         for x in range(len(a) - 4):
@@ -835,7 +839,9 @@ def brute_contamination(docs, items):
         found = set()
         for group in hit.values():
             pairs = {p for _, ps in group for p in ps}
-            if len({p for p, _ in pairs}) == len(pairs):
+            names = sum(p != q and p.startswith("NAME") for p, q in pairs)
+            covered = {y + k for y, _ in group for k in range(5)}
+            if len({p for p, _ in pairs}) == len(pairs) and names <= 0.2 * len(covered) + 1e-9:
                 found |= {y for y, _ in group}
         if len(found) >= 0.8 * n:
             out.add((d, i, n, len(found)))
@@ -847,16 +853,26 @@ def test_decontamination(spark, empty):
     other = item.replace("Boston", "Paris").replace("60", "85").replace("Alice", "Bob")
     broken = item.replace("near Boston", "near Lyon")
     texts = [(1, "Before it. " + item + " And after."), (2, "before,\n" + other), (3, broken), (4, "nothing like it"), (5, None), (6, ""), (None, item), (7, item + " " + item), (7, item), (8, "say . “" + item)]
-    items = [(10, item), (11, "too short"), (12, None), (13, " ".join(f"word{i}" for i in range(9)))]
+    numbers = " ".join(str(i) for i in range(30))
+    texts += [(20, "Der Hund sah die Katze im Garten neben dem Haus heute früh."), (21, "Der Mann sah die Frau im Wagen neben dem Baum heute früh."), (22, "this is Too SHORT, really"), (23, "What is two plus?"), (24, numbers), (25, numbers.replace("1", "7")), (26, "es waren drei Tage und 5 Stunden bis Rom")]
+    items = [(10, item), (11, "too short"), (12, None), (13, " ".join(f"word{i}" for i in range(9))), (14, "Der Mann sah die Frau im Wagen neben dem Baum heute früh."), (15, "What is two plus?"), (16, " ".join(str(i) for i in range(40, 70))), (17, "es waren zwölf Tage und 9 Wochen bis Paris"), (10, item)]
     df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in texts], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["n_windows"], r["n_matched"]): r["exact"] for r in decontaminate.contaminated(df, bench).collect()}
     assert set(got) == brute_contamination(texts, items)
     assert {k[0] for k in got} >= {1, 2, None, 7} and {k[0]: v for k, v in got.items()}[2] is False and 3 not in {k[0] for k in got}
+    found = {k[:2] for k in got}
+    assert {(21, 14), (22, 11), (23, 15), (24, 16), (26, 17)} <= found and (20, 14) not in found
     wide = decontaminate.contaminated(df, bench, bound=0)  # the way for a large benchmark
     assert {(r["doc_id"], r["item_id"], r["n_windows"], r["n_matched"]) for r in wide.collect()} == set(got)
     left = decontaminate.drop_contaminated(df, bench)
-    assert left.columns == df.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["3", "4", "5", "6"]
+    bad = {k[0] for k in got}
+    assert left.columns == df.columns and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in texts if d not in bad) and {"3", "4", "5", "6", "20"} <= {str(r["doc_id"]) for r in left.collect()}
+    odd = df.withColumn("th", F.lit("a")).withColumn("item", F.lit("b")).withColumn("x.y", F.lit("c"))
+    kept = decontaminate.drop_contaminated(odd, bench.withColumn("w", F.lit(1)))
+    assert kept.columns == odd.columns and kept.count() == left.count()
+    long = spark.createDataFrame([(1, "filler words " * 200_000 + item, "en", "s", 0)], SCHEMA)
+    assert {r["item_id"] for r in decontaminate.contaminated(long, bench).collect()} == {10}
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
