@@ -8,9 +8,13 @@ target. Documents of a source are spread over buckets of bounded size, each buck
 fractional document, and those residuals meet in a reduction tree of fixed fan-in: the largest
 source needs a few more levels, never one large task.
 
-Defined cases: a null text has 0 words; documents of 0 words are rounded by their own coin, as they
+Targets follow from sums over the sources in an order; those are taken by ranges, so there may be as many
+sources as hosts of a crawl.
+
+Defined cases: a null text has 0 words; a very long text is one document of that size; documents of 0 words are rounded by their own coin, as they
 carry no mass; a null source is a source of its own, the last; a source without words has target 0;
-an empty table gives an empty result; equal rows are rounded together.
+an empty table gives an empty result; equal rows are rounded together; ties in size are settled by the hash of
+the row. :func:`mix_documents` keeps extra columns, whatever their names; the query doesn't read them.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,24 +37,41 @@ BUCKET, FAN_IN = 4_096, 64
 _NEAR = 1e-9
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` with, for each of ``sums``, the sum over the rows before in ``order``: by ranges, then within a range. Sums that are exact don't hang on the ranges."""
+    spark, keys = df.sparkSession, [f"_o{i}" for i in range(len(order))]
+    rows = df.select("*", *[o.alias(k) for o, k in zip(order, keys)], *[v.alias(f"_v_{n}") for n, v in sums.items()])
+    rows = scratch.save(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), name)
+    per = rows.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(n) for n in sums]).orderBy("_part").collect()  # a row a range
+    kinds, at, table_ = {n: rows.schema[f"_v_{n}"].dataType.simpleString() for n in sums}, {n: 0 for n in sums}, []
+    for r in per:
+        table_.append((r["_part"], *(type(r[n])(at[n]) for n in sums)))
+        at = {n: at[n] + r[n] for n in sums}
+    below = spark.createDataFrame(table_, "_part int, " + ", ".join(f"_b_{n} {kinds[n]}" for n in sums))
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(below), "_part")
+    return out.select(*df.columns, *[(F.col(f"_b_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))).alias(n) for n in sums])
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, n_docs, target) of rows (source, size, n): n equal documents of that size.
 
     Resharing the excess over the caps until none is left ends where every target is
-    least(cap, level * weight) for one level; it follows from prefix sums over the sources by the
-    level at which they reach their cap. Windows here run over one row a source.
+    least(cap, level * weight) for one level; it follows from sums over the sources before, in the order of the
+    level at which they reach their cap. Sums are of whole words and of weights.
     """
-    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.sum("n").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
+    per = scratch.save(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.sum("n").alias("n_docs")), "per_source")
+    none = F.col("source").isNull()  # the last
+    per = sums_before(per, [none, F.col("source")], {"rank": F.lit(1).cast("long")}, scratch, "ranked")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     per = per.withColumn("w", w).withColumn("cap", most * F.col("source_size")).withColumn("at", F.col("cap") / F.col("w"))
-    total = F.sum("source_size").over(Window.partitionBy()) * share
-    below = Window.orderBy("at", F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy("at", F.asc_nulls_last("source")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (total - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("w").over(onward)
-    per = per.withColumn("level", level).withColumn("free", F.col("level") <= F.col("at"))
-    final = F.min(F.when(F.col("free"), F.struct("at", "level"))).over(Window.partitionBy())["level"]
-    return per.select("source", "source_size", "n_docs", F.least(F.col("cap"), F.coalesce(final * F.col("w"), F.col("cap"))).alias("target"))
+    per = scratch.save(sums_before(per, [F.col("at"), none, F.col("source")], {"size_before": F.col("source_size"), "w_before": F.col("w")}, scratch, "by_level"), "levels")
+    total, all_w = per.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit(float((total or 0) * share)) - most * F.col("size_before")) / (F.lit(float(all_w or 0)) - F.col("w_before"))
+    # the first source in the order that does not reach its cap gives the level; of sources tied in ``at`` that is the highest level
+    final = per.select("at", (-level).alias("below")).filter("-below <= at").agg(F.min(F.struct("at", "below"))["below"].alias("below")).first()
+    target = F.col("cap") if final[0] is None else F.least(F.col("cap"), -final[0] * F.col("w"))
+    return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def _coin(key: int, level: int) -> float:
@@ -106,7 +127,7 @@ def _round(level: int, last: bool):
 
 def copies(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Rows (source, size, key: long, n, anything else) with source_size, target and copies of the n equal documents together; ``key`` orders and seeds."""
-    stats = scratch.save(source_targets(sizes, weights, share, most), "sources")
+    stats = scratch.save(source_targets(sizes, scratch, weights, share, most), "sources")
     rows = sizes.join(stats, sizes["source"].eqNullSafe(stats["source"]), "left").drop(stats["source"])
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("n")
     x = F.when(F.abs(x - F.round(x)) < _NEAR, F.round(x)).otherwise(x)

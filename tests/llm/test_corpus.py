@@ -923,6 +923,88 @@ def test_mixing(spark, sf, rows, monkeypatch):
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))
 
 
+def test_targets_of_many_sources(spark):
+    """Sources over many ranges, tied levels, empty sources, a null one: against resharing step by step."""
+    rng = random.Random(10)
+    sizes = {f"s{i:04d}": rng.choice([0, 1, 7, 7, 7, 90, 1500, 40_000]) for i in range(700)} | {None: 300, "": 12, "é": 5, "z": 1_000_000}
+    df = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, size long, n long").repartition(5)
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df, common.Scratch(spark)).collect()}
+    want = level_targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+    plan = mixing.source_targets(df, common.Scratch(spark))._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def pivot_by_hand(docs, level, last):
+    """Pivotal rounding of one bucket in exact fractions: (part, size, key) in order of (key, size) -> rounded parts and what is left."""
+    from fractions import Fraction
+
+    coin = lambda key, salt: int(common.mix(np.array([(key ^ salt) & (1 << 64) - 1], np.uint64))[0] >> np.uint64(11)) / float(1 << 53)
+    docs = sorted(docs, key=lambda d: (d[2], d[1]))
+    p, out, held = [Fraction(d[0]) for d in docs], {}, None
+    for j, (_, size, key) in enumerate(docs):
+        if p[j] < Fraction(1, 10**9) or p[j] > 1 - Fraction(1, 10**9):
+            out[j] = round(p[j])
+        elif size == 0:
+            out[j] = int(coin(key, mixing.SEED + 1000003 * level) < p[j])
+        elif held is None:
+            held = j
+        else:
+            i, ratio = held, Fraction(size, docs[held][1])
+            up, down = min(1 - p[i], p[j] * ratio), min(p[i], (1 - p[j]) * ratio)
+            move = up if coin(key, mixing.SEED + 1000003 * level) * (up + down) < down else -down
+            p[i], p[j], held = p[i] + move, p[j] - move / ratio, None
+            for k in (i, j):
+                if p[k] < Fraction(1, 10**9) or p[k] > 1 - Fraction(1, 10**9):
+                    out[k] = round(p[k])
+                else:
+                    held = k
+    if held is not None and last:
+        out[held] = int(coin(docs[held][2], mixing.SEED + 1000003 * (level + 500)) < p[held])
+        held = None
+    return docs, out, held, p
+
+
+def test_rounding_against_fractions(spark):
+    """The whole of ``copies`` over a tree of small buckets, with exact arithmetic in Python."""
+    rng = random.Random(14)
+    rows = [(f"s{rng.choice([0, 0, 0, 1, 2])}", rng.choice([0, 1, 5, 5, 40, 300]), rng.getrandbits(63) - (1 << 62), rng.choice([1, 1, 1, 3])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "source string, size long, key long, n long")
+    bucket, fan_in = mixing.BUCKET, mixing.FAN_IN
+    mixing.BUCKET, mixing.FAN_IN = 5, 3
+    try:
+        got = Counter((r["source"], r["size"], r["key"], r["n"], r["copies"]) for r in mixing.copies(df, common.Scratch(spark)).collect())
+        sizes, docs = Counter(), Counter()
+        for s, size, _, n in rows:
+            sizes[s] += size * n
+            docs[s] += n
+        target, want = level_targets(sizes), Counter()
+        where = {(r["source"], r["key"]): r["b"] for r in df.select("source", "key", F.xxhash64("key", F.lit(mixing.SEED)).alias("b")).collect()}
+        levels = 1
+        while fan_in and max(-(-n // 5) for n in docs.values()) > 3 ** (levels - 1):
+            levels += 1
+        for s in sizes:
+            buckets, whole = {}, {}
+            for _, size, key, n in (r for r in rows if r[0] == s):
+                x = target[s] / sizes[s] * n
+                x = float(round(x)) if abs(x - round(x)) < 1e-9 else x
+                whole[key] = (int(x // 1), size, n)
+                buckets.setdefault(where[(s, key)] % -(-docs[s] // 5), []).append((x - x // 1, size, key))
+            for level in range(levels):
+                later = {}
+                for b, group in buckets.items():
+                    ordered, out, held, p = pivot_by_hand(group, level, level == levels - 1)
+                    for j, y in out.items():
+                        w, size, n = whole[ordered[j][2]]
+                        want[(s, size, ordered[j][2], n, w + y)] += 1
+                    if held is not None:
+                        later.setdefault(b // 3, []).append((p[held], *ordered[held][1:]))
+                buckets = later
+        assert got == want
+    finally:
+        mixing.BUCKET, mixing.FAN_IN = bucket, fan_in
+
+
 def test_pivot_keeps_mass_and_expectation():
     rng = np.random.default_rng(0)
     size, p = rng.integers(1, 50, 200).tolist(), [0.37] * 200
