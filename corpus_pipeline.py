@@ -33,17 +33,22 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of every row."""
-    return shard_documents(docs).select("doc_id", "n_bytes", "shard_id", "depth", "overflow", "shard_bytes", "shard_docs")
+    """Every row, texts included, with its shard: to be written with ``partitionBy("shard_id")``."""
+    return shard_documents(docs, whole=True)
 
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
-#: The quality, near-dedup and mixing stages iterate or draw seeded coins, which SQL can't express; tests hold run() against brute force.
+#: The near-dedup and mixing stages iterate or draw seeded coins, which SQL can't express; tests/llm holds run() against brute force, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each written and reread."""
+    """All stages over the whole ``documents`` table, each written and reread.
+
+    Null and empty texts, and whatever the rules reject, go in the first stage; null ids, ties, repeated rows and
+    very long texts pass as the operators say; other columns of ``documents`` come through, whatever their names (the last
+    stage puts underscores after an added name that is taken); an empty table gives an empty result.
+    """
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
