@@ -6,6 +6,7 @@ Words are maximal runs of code points outside ``[\\x20\\x09-\\x0D]`` everywhere;
 from __future__ import annotations
 
 import uuid
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,12 @@ class Scratch:
 
     Each table is written once and reread, which cuts lineage: a lost executor costs the tasks of
     the running stage, never the stages before. Only a local session may lack the setting.
+    The folder goes with :meth:`close`, or at last when the driver ends.
     """
 
+    #: Those not closed yet, the oldest first.
+    live: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -82,6 +87,27 @@ class Scratch:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file:///tmp/checkpoints"
         self.root = f"{base.rstrip('/')}/fieldloom-{uuid.uuid4().hex}"
+        path, fs = self._path(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        Scratch.live.append(self)
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def close(self) -> None:
+        """Delete all tables; nothing may read them any more."""
+        path, fs = self._path(self.root)
+        fs.delete(path, True)
+        if self in Scratch.live:
+            Scratch.live.remove(self)
+
+    @classmethod
+    def close_since(cls, n: int) -> None:
+        """Close what was opened after the first ``n`` live ones."""
+        for scratch in cls.live[n:]:
+            scratch.close()
 
     def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """``df`` written and reread; in a folder for each value of ``by``, of which there should be few."""
@@ -91,10 +117,9 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more, and let Spark free their shuffle files."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            path, fs = self._path(f"{self.root}/{name}")
+            fs.delete(path, True)
 
 
 def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:

@@ -79,7 +79,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
 #: Rule -> (bad if, good if), of measures; neither: it abstains.
 RULES = {
     "length": ("n_words < 25", "n_words >= 50"),
-    "word_length": ("n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 9 * n_words)", "n_words > 0 AND word_chars BETWEEN 4 * n_words AND 8 * n_words"),
+    "word_length": ("n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 9 * n_words)", "n_words > 0 AND word_chars >= 4 * n_words AND word_chars <= 8 * n_words"),
     "symbols": ("10 * n_symbols > n_words", "n_words > 0 AND 50 * n_symbols <= n_words"),
     "marks": ("10 * n_marked > n_words", "n_words > 0 AND 50 * n_marked <= n_words"),
     "lines": ("n_dup_lines >= 2 AND 10 * n_dup_lines > 3 * n_lines", "n_lines > 1 AND n_dup_lines = 0"),

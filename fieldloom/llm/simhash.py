@@ -16,7 +16,7 @@ Defined cases: null, empty and blank texts have fingerprint 0, and link with eac
 other; component_id is the least non-null doc_id reachable, null where there is none; repeated rows
 and ids give a row each; a very long text is hashed whole, in a step of its own; other columns are not read
 or, by :func:`drop_near_duplicates`, kept, whatever their names; of documents with equal ids in a component
-the least text stays, and of rows equal in all columns one; an empty table gives an empty result.
+that of the least row hash stays, and of rows equal in all columns one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, that of the least (doc_id, text) with null ids last; all columns as they came.
+    """One document of each component, that of the least (doc_id, hash of the row) with null ids last; all columns as they came.
 
     Ids and fingerprints decide; a text moves only once, to meet the decision on its row's key.
     """

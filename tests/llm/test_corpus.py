@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -88,6 +89,18 @@ def test_leftmost_minimum_and_words():
     assert got == [(i, w) for i, t in enumerate(texts) for w in words(t)]
 
 
+def test_scratch_is_cleaned(spark):
+    n = len(common.Scratch.live)
+    a, b = common.Scratch(spark), common.Scratch(spark)
+    a.save(spark.range(3), "x").count()
+    at = Path(a.root.removeprefix("file://"))
+    assert (at / "x").exists()
+    a.drop("x", "never there")
+    assert at.exists() and not (at / "x").exists()
+    common.Scratch.close_since(n)
+    assert not at.exists() and not Path(b.root.removeprefix("file://")).exists() and len(common.Scratch.live) == n
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
@@ -965,44 +978,47 @@ def pivot_by_hand(docs, level, last):
     return docs, out, held, p
 
 
-def test_rounding_against_fractions(spark):
-    """The whole of ``copies`` over a tree of small buckets, with exact arithmetic in Python."""
+def copies_by_hand(spark, rows, bucket, fan_in):
+    """What ``mixing.copies`` should say of rows (source, size, key, n), with exact arithmetic."""
+    sizes, docs = Counter(), Counter()
+    for s, size, _, n in rows:
+        sizes[s] += size * n
+        docs[s] += n
+    target, out = level_targets(sizes), Counter()
+    keys = spark.createDataFrame([(r[2],) for r in rows], "key long")
+    where = {r["key"]: r["b"] for r in keys.select("key", F.xxhash64("key", F.lit(mixing.SEED)).alias("b")).collect()}
+    levels = 1
+    while max(-(-n // bucket) for n in docs.values()) > fan_in ** (levels - 1):
+        levels += 1
+    for s in sizes:
+        buckets, whole = {}, {}
+        for _, size, key, n in (r for r in rows if r[0] == s):
+            x = target[s] / sizes[s] * n if sizes[s] else 0.0
+            x = float(round(x)) if abs(x - round(x)) < 1e-9 else x
+            whole[key] = (int(x // 1), size, n)
+            buckets.setdefault(where[key] % -(-docs[s] // bucket), []).append((x - x // 1, size, key))
+        for level in range(levels):
+            later = {}
+            for b, group in buckets.items():
+                ordered, rounded, held, p = pivot_by_hand(group, level, level == levels - 1)
+                for j, y in rounded.items():
+                    w, size, n = whole[ordered[j][2]]
+                    out[(s, size, ordered[j][2], n, w + y)] += 1
+                if held is not None:
+                    later.setdefault(b // fan_in, []).append((p[held], *ordered[held][1:]))
+            buckets = later
+    return out
+
+
+def test_rounding_against_fractions(spark, monkeypatch):
+    """The whole of ``copies`` over a tree of small buckets."""
     rng = random.Random(14)
     rows = [(f"s{rng.choice([0, 0, 0, 1, 2])}", rng.choice([0, 1, 5, 5, 40, 300]), rng.getrandbits(63) - (1 << 62), rng.choice([1, 1, 1, 3])) for _ in range(120)]
+    monkeypatch.setattr(mixing, "BUCKET", 5)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
     df = spark.createDataFrame(rows, "source string, size long, key long, n long")
-    bucket, fan_in = mixing.BUCKET, mixing.FAN_IN
-    mixing.BUCKET, mixing.FAN_IN = 5, 3
-    try:
-        got = Counter((r["source"], r["size"], r["key"], r["n"], r["copies"]) for r in mixing.copies(df, common.Scratch(spark)).collect())
-        sizes, docs = Counter(), Counter()
-        for s, size, _, n in rows:
-            sizes[s] += size * n
-            docs[s] += n
-        target, want = level_targets(sizes), Counter()
-        where = {(r["source"], r["key"]): r["b"] for r in df.select("source", "key", F.xxhash64("key", F.lit(mixing.SEED)).alias("b")).collect()}
-        levels = 1
-        while fan_in and max(-(-n // 5) for n in docs.values()) > 3 ** (levels - 1):
-            levels += 1
-        for s in sizes:
-            buckets, whole = {}, {}
-            for _, size, key, n in (r for r in rows if r[0] == s):
-                x = target[s] / sizes[s] * n
-                x = float(round(x)) if abs(x - round(x)) < 1e-9 else x
-                whole[key] = (int(x // 1), size, n)
-                buckets.setdefault(where[(s, key)] % -(-docs[s] // 5), []).append((x - x // 1, size, key))
-            for level in range(levels):
-                later = {}
-                for b, group in buckets.items():
-                    ordered, out, held, p = pivot_by_hand(group, level, level == levels - 1)
-                    for j, y in out.items():
-                        w, size, n = whole[ordered[j][2]]
-                        want[(s, size, ordered[j][2], n, w + y)] += 1
-                    if held is not None:
-                        later.setdefault(b // 3, []).append((p[held], *ordered[held][1:]))
-                buckets = later
-        assert got == want
-    finally:
-        mixing.BUCKET, mixing.FAN_IN = bucket, fan_in
+    got = Counter((r["source"], r["size"], r["key"], r["n"], r["copies"]) for r in mixing.copies(df, common.Scratch(spark)).collect())
+    assert got == copies_by_hand(spark, rows, 5, 3)
 
 
 def test_pivot_keeps_mass_and_expectation():
@@ -1038,20 +1054,98 @@ def test_registered_sql(spark, duck):
         assert same(queries.QUERIES[name](spark, SF), duck.sql(sql))
 
 
-def test_pipeline_against_its_stages_by_brute_force(spark, sf, rows):
+def votes_of(text):
+    """Votes of the rules in plain Python."""
+    w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = base_measures(text)
+    alnum = lambda c: unicodedata.category(c)[0] in "LMN"
+    marked = lambda x: any(not alnum(a) and not alnum(b) for a, b in zip(x, x[1:])) or not any(map(alnum, x))
+    m = {
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_lines": len(lines),
+        "n_caps": sum(x == x.upper() and x != x.lower() for x in w), "n_exclaim": (text or "").count("!"), "n_marked": sum(map(marked, w)), "n_distinct": len(set(w)),
+    }
+    true = lambda rule: eval(rule.replace(" AND ", " and ").replace(" OR ", " or ").replace(" = ", " == "), {}, m)
+    return tuple(-1 if true(bad) else 1 if true(good) else 0 for bad, good in quality_rules.RULES.values()), true(quality_rules.BASE_FAILED.replace("OR", "or"))
+
+
+def shards_by_hand(rows, limit):
+    """(row, shard_id, bytes of the shard) by splitting bucket by bucket."""
+    bits = lambda r: format(int(hashlib.md5(f"{'' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest()[:15], 16), "060b")
+    out, todo = [], [("", rows)]
+    while todo:
+        prefix, part = todo.pop()
+        size = sum(len((r[1] or "").encode()) for r in part)
+        if size <= limit:
+            out += [(r, prefix, size) for r in part]
+        else:
+            todo += [(prefix + x, [r for r in part if bits(r)[len(prefix)] == x]) for x in "01"]
+    return out
+
+
+def test_pipeline_by_brute_force(spark, rows, tmp_path):
+    """Every stage, and all together, on documents with planted items and junk, against plain Python."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(4).collect()]
+    more = [(200 + i, passage(rng, 30) + ". " + x + " " + passage(rng, 30), "en", f"s{i % 4}") for i, x in enumerate(items)]
+    more += [(300 + i, " | ".join(passage(rng, 60).split()) + " %%%", "en", "s1") for i in range(9)] + [(400 + i, passage(rng, 4) + " " + ("BUY!! NOW!! " + passage(rng, 3).upper() + "!! ") * 9, "en", "s2") for i in range(9)]
+    every = rows + [(d, t, l, s, len(t)) for d, t, l, s in more]
+    spark.createDataFrame(every, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = [n for n, _ in pipeline.STAGES]
+    assert names == ["quality rules", "near-dedup", "decontamination", "mixing", "sharding"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def stage(k, now):
+        out = pipeline.STAGES[k][1](spark, spark.createDataFrame(now, SCHEMA) if k else docs, str(tmp_path))
+        assert k == 4 or out.columns == docs.columns
+        return [tuple(r) for r in out.collect()]
+
+    voted = [votes_of(r[1]) for r in every]
+    posterior, _ = estimate(Counter(v for v, _ in voted))
+    good = [r for r, (v, failed) in zip(every, voted) if not failed and posterior[v] >= 0.5]
+    assert Counter(stage(0, every)) == Counter(good) and len([r for r in every if (r[0] or 0) >= 300]) > 10 and not [r for r in good if (r[0] or 0) >= 300]
+    found = brute_components([(i, print_of(r[1])) for i, r in enumerate(good)])
+    groups = {}
+    for r, c in zip(good, found):
+        groups.setdefault(c, []).append(r)
+    unique = stage(1, good)
+    assert len(unique) == len(groups) and len(unique) < len(good)
+    for group in groups.values():
+        own = [r for r in unique if r in group]
+        assert len(own) == 1 and own[0][0] == min((r[0] for r in group), key=lambda d: (d is None, d or 0))
+    bad = {d for d, *_ in brute_contamination([(r, r[1]) for r in unique], list(enumerate(items)))}
+    clean = stage(2, unique)
+    assert Counter(clean) == Counter(r for r in unique if r not in bad) and {r[0] for r in bad} == {200, 201, 202, 203}
+    df = spark.createDataFrame(clean, SCHEMA)
+    keys = [r[0] for r in df.select(F.xxhash64(*df.columns)).collect()]
+    taken = copies_by_hand(spark, [(r[3], len(words(r[1])), k, 1) for r, k in zip(clean, keys)], mixing.BUCKET, mixing.FAN_IN)
+    at = dict(zip(keys, clean))
+    mixed = [at[key] for (_, _, key, _, n), times in taken.items() for _ in range(n * times)]
+    assert Counter(stage(3, clean)) == Counter(mixed) and len(mixed) > len(clean)
+    size = lambda r: len((r[1] or "").encode())
+    want = Counter((r, b, n) for r, b, n in shards_by_hand(mixed, sharding.LIMIT))
+    assert Counter((r[:5], r[5], r[8]) for r in stage(4, mixed)) == want and sum(map(size, mixed)) > 0
+    whole = pipeline.run(spark, str(tmp_path))
+    assert whole.columns == [*docs.columns, "shard_id", "depth", "overflow", "shard_bytes", "shard_docs"]
+    assert Counter((tuple(r)[:5], r["shard_id"], r["shard_bytes"]) for r in whole.collect()) == want
+
+
+def test_pipeline_edges(spark, rows, tmp_path):
+    """No rows at all; null ids, and columns whose names are those of helpers."""
     import corpus_pipeline as pipeline
 
-    assert [n for n, _ in pipeline.STAGES] == ["quality rules", "near-dedup", "decontamination", "mixing", "sharding"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    good = pipeline.STAGES[0][1](spark, docs, sf)
-    verdict = Counter(r["doc_id"] for r in quality_rules.op7_quality_rules(spark, sf).collect() if r["kept"])
-    assert Counter(r["doc_id"] for r in good.collect()) == verdict and good.columns == docs.columns
-    good_rows = [tuple(r) for r in good.collect()]
-    unique = pipeline.STAGES[1][1](spark, good, sf)
-    assert unique.count() == len(set(brute_components([(i, print_of(r[1])) for i, r in enumerate(good_rows)]))) and unique.columns == docs.columns
-    clean = pipeline.STAGES[2][1](spark, unique, sf)
-    assert clean.count() == unique.count() and clean.columns == docs.columns
-    mixed = pipeline.STAGES[3][1](spark, clean, sf)
-    assert set(r["doc_id"] for r in mixed.collect()) <= set(r["doc_id"] for r in clean.collect())
-    assert pipeline.run(spark, sf).count() == mixed.count()
-    assert Counter(r["doc_id"] for r in pipeline.run(spark, sf).collect()) == Counter(r["doc_id"] for r in mixed.collect())
+    odd = spark.createDataFrame(rows, SCHEMA)
+    for name in ("_row", "_k1", "key", "copies", "Depth", "votes", "th", "a.b"):
+        odd = odd.withColumn(name, F.lit("x"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    odd.write.parquet(f"{tmp_path}/a/documents.parquet")
+    odd.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    out = pipeline.run(spark, f"{tmp_path}/a")
+    assert out.columns == [*odd.columns, "shard_id", "depth_", "overflow", "shard_bytes", "shard_docs"]
+    got = out.collect()
+    assert None in {r["doc_id"] for r in got} or not [r for r in rows if r[0] is None and len(words(r[1])) >= 10]
+    assert all(r["a.b"] == "x" and r["Depth"] == "x" for r in got) and len(got) > 10
+    assert pipeline.run(spark, f"{tmp_path}/b").count() == 0
