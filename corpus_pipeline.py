@@ -51,9 +51,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        open_before = len(Scratch.live)
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.save(docs, f"stage{i}")
+            Scratch.close_since(open_before)
             if i:
                 scratch.drop(f"stage{i - 1}")
     return docs
