@@ -56,6 +56,18 @@ def normalised_difference(a: Column, b: Column, scale: int = 10000) -> Column:
     return F.rint(F.try_divide(a - b, a + b) * scale).cast("short")
 
 
+def band_difference(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the band ``a - b``, null where either is."""
+    return df.withColumn(name, F.col(a) - F.col(b))
+
+
+def prune_bands(df: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+    """``keys`` and the bands of the keep list, in its order; an unknown one is an error."""
+    if absent := [c for c in keep if c not in df.columns]:
+        raise ValueError(f"no bands {absent}")
+    return df.select(*keys, *keep)
+
+
 def pack_column(df: DataFrame, column: str, bits: int = 16, signed: bool = True) -> DataFrame:
     """Adds packed, scale and offset by the column's own range."""
     ends = F.broadcast(df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")))  # one row

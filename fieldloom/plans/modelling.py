@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from fieldloom.functions.power import yeo_johnson, yeo_johnson_inverse
 from fieldloom.operators import assemble, metrics, model, stats
 from fieldloom.plans.base import gridded, lat_of, obs, query, rounded
-from fieldloom.sources import sinks
 from fieldloom.sources.readers import raster_metadata, table
 from fieldloom.streaming.events import windowed_stats
 
@@ -171,12 +170,6 @@ def raster_metadata_(spark, sf_dir):
     return raster_metadata(obs(spark, sf_dir), ["pft"], "v")
 
 
-@query("legend_json")
-def legend_json(spark, sf_dir):
-    """Nested legend metadata: type to source to its 2 and 98 percentiles."""
-    return sinks.nested_metadata(obs(spark, sf_dir), "pft", "source", "v")
-
-
 # --- transforms -------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Configuration as a nested tree with attribute access, from JSON files that Spark can read, later ones overriding earlier ones."""
+"""Configuration as a nested tree with attribute access, from JSON or YAML files that Spark can read, later ones overriding earlier ones."""
 
 from __future__ import annotations
 
@@ -31,10 +31,19 @@ class Config(dict):
 def load_config(spark: SparkSession, *paths: str) -> Config:
     out = Config()
     for p in paths:
-        out = out.merged(json.loads(spark.read.text(p, wholetext=True).first()[0]))
+        text = spark.read.text(p, wholetext=True).first()[0]
+        out = out.merged((_yaml(text) if p.endswith((".yaml", ".yml")) else json.loads(text)) or {})
     return out
 
 
+def _yaml(text: str):
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("YAML files need PyYAML; JSON files don't") from e
+    return yaml.safe_load(text)
+
+
 def collect_results(spark: SparkSession, glob: str, pattern: str, names: list[str]) -> DataFrame:
     """CSV results of many folders as one table, with columns ``names`` taken from the path by the groups of ``pattern``."""
     df = spark.read.option("header", True).option("inferSchema", True).csv(glob)

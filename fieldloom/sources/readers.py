@@ -122,6 +122,13 @@ def read_folds(spark: SparkSession, glob: str, pattern: str = r"fold_(\d+)") ->
     return df.withColumn("fold", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("int"))
 
 
+def list_names(spark: SparkSession, glob: str) -> list[str]:
+    """Names of the files and folders that match."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(str(x.getPath().getName()) for x in fs.globStatus(path) or [])
+
+
 def latest_run(names: Iterable[str]) -> str | None:
     """The newest ``run_YYYYMMDD_HHMMSS``."""
     return max((n for n in names if re.fullmatch(r"run_\d{8}_\d{6}", n)), default=None)

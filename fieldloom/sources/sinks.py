@@ -20,22 +20,33 @@ def safe_overwrite(df: DataFrame, path: str) -> None:
     fs.delete(new, True)
     df.write.parquet(f"{path}.new")
     fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, at):
+        if fs.exists(old):
+            fs.rename(old, at)
+        raise OSError(f"{path}.new can't take the place of {path}, which is as it was")
     fs.delete(old, True)
 
 
-def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
+def _report_rows(df: DataFrame, most: int) -> list:
+    """All rows; a report of more than ``most`` is refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
+
+
+def markdown(df: DataFrame, title: str, most: int = 10_000) -> str:
     """A small result as a Markdown report."""
-    rows = df.limit(limit).collect()
+    rows = _report_rows(df, most)
     show = lambda v: f"{v:,.3f}" if isinstance(v, float) else "" if v is None else str(v)
     return "\n".join([f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]])
 
 
-def latex(df: DataFrame, limit: int = 200) -> str:
+def latex(df: DataFrame, most: int = 10_000) -> str:
     """A small result as a LaTeX tabular."""
-    rows = df.limit(limit).collect()
+    rows = _report_rows(df, most)
     esc = lambda v: ("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
     body = [" & ".join(esc(v) for v in r) + r" \\" for r in [df.columns, *rows]]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", body[0], r"\midrule", *body[1:], r"\bottomrule", r"\end{tabular}"])
