@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import names
-from fieldloom.operators.stats import dominant_category, join_keys
+from fieldloom.operators.stats import dominant_category, join_keys, linear_quantiles
 
 
 def filter_types(df: DataFrame, column: str, wanted: str, valid: set[str]) -> DataFrame:
@@ -31,8 +31,10 @@ def drop_value(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def bounds(df: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:
-    """One row of exact linear quantile bounds ``{c}_lo``, ``{c}_hi``."""
-    return df.agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in columns for n, q in (("lo", low), ("hi", high))])
+    """One row of exact linear quantile bounds ``{c}_lo``, ``{c}_hi``, of all columns in one pass over (column, value)."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)])).alias("_s")).select("_s.*")
+    per = linear_quantiles(long, ["_c"], "_x", {"lo": low, "hi": high})
+    return per.agg(*[F.max(F.when(F.col("_c") == i, F.col(n))).alias(f"{c}_{n}") for i, c in enumerate(columns) for n in ("lo", "hi")])
 
 
 def drop_outliers(df: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:

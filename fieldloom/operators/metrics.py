@@ -6,19 +6,23 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldloom.functions import geo
+from fieldloom.operators.stats import join_keys, linear_quantiles, running
 
 
-def regression_metrics(obs: str = "obs", pred: str = "pred") -> list[Column]:
-    """r2, pearsonr, rmse, nrmse (by the 1 to 99 % range of obs), mse, mae, medae: all of one aggregation."""
+def regression_metrics(df: DataFrame, by: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
+    """``by`` and r2, pearsonr, rmse, nrmse (by the 1 to 99 % range of obs), mse, mae, medae."""
     e = F.col(obs) - F.col(pred)
-    mse, spread = F.avg(e * e), F.percentile(obs, F.lit(0.99)) - F.percentile(obs, F.lit(0.01))
-    return [
-        (1 - F.try_divide(F.sum(e * e), F.var_pop(obs) * F.count(e))).alias("r2"), F.corr(obs, pred).alias("pearsonr"), F.sqrt(mse).alias("rmse"), F.try_divide(F.sqrt(mse), spread).alias("nrmse"),
-        mse.alias("mse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"),
-    ]
+    mse = F.avg(e * e)
+    plain = df.groupBy(*by).agg(
+        (1 - F.try_divide(F.sum(e * e), F.var_pop(obs) * F.count(e))).alias("r2"), F.corr(obs, pred).alias("pearsonr"), F.sqrt(mse).alias("rmse"), mse.alias("mse"), F.avg(F.abs(e)).alias("mae"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("_w"), F.col(obs).cast("double").alias("_x")), F.struct(F.lit(1).alias("_w"), F.abs(e).cast("double").alias("_x"))))
+    long = df.select(*by, both.alias("_s")).select(*by, "_s.*")  # observations and errors in one pass
+    q = linear_quantiles(long, [*by, "_w"], "_x", {"_a": 0.01, "_b": 0.5, "_c": 0.99})
+    ranks = q.groupBy(*by).agg(F.max(F.when(F.col("_w") == 0, F.col("_c") - F.col("_a"))).alias("_spread"), F.max(F.when(F.col("_w") == 1, F.col("_b"))).alias("medae"))
+    joined = join_keys(plain, ranks, by) if by else plain.crossJoin(F.broadcast(ranks))  # one row
+    return joined.withColumn("nrmse", F.try_divide(F.col("rmse"), F.col("_spread"))).select(*by, *METRICS)
 
 
 METRICS = ("r2", "pearsonr", "rmse", "nrmse", "mse", "mae", "medae")
@@ -26,7 +30,7 @@ METRICS = ("r2", "pearsonr", "rmse", "nrmse", "mse", "mae", "medae")
 
 def foldwise(df: DataFrame, fold: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Mean and std over folds of each metric."""
-    per = df.groupBy(*by, fold).agg(*regression_metrics())
+    per = regression_metrics(df, [*by, fold])
     return per.groupBy(*by).agg(*[f(m).alias(f"{m}_{n}") for m in METRICS for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
@@ -65,11 +69,11 @@ def difference(a: DataFrame, b: DataFrame, by: list[str], flag: str) -> DataFram
 
 
 def tiers(df: DataFrame, metric: str, name: str, top: float = 0.3, middle: float = 0.7) -> DataFrame:
-    """Tier of each model by rank, with floor() cut-offs: one row a trait goes through one task."""
-    w = Window.orderBy(F.desc(metric), name)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = F.row_number().over(w)
-    return df.withColumn("tier", F.when(r <= F.floor(n * top), "high").when(r <= F.floor(n * middle), "medium").otherwise("low"))
+    """Tier of each model by rank, the highest first, with floor() cut-offs; null scores come last."""
+    low = F.coalesce(-F.col(metric).cast("double"), F.lit(float("inf")))
+    ranked = running(df.withColumn("_low", low), "_low", [F.col(name)], {"_r": F.lit(1)})
+    n, r = F.col("_r_all"), F.col("_r")
+    return ranked.withColumn("tier", F.when(r <= F.floor(n * top), "high").when(r <= F.floor(n * middle), "medium").otherwise("low")).drop("_low", "_r", "_r_all")
 
 
 #: Two-sided 97.5 % points of Student's t for 1 to 10 degrees of freedom.
@@ -129,10 +133,22 @@ def one_sided(values: list[float], share: float = 0.99) -> tuple[float, float |
 def ks_statistic(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     """(d, n, m): the largest distance of two empirical distributions. Equal values are counted together first."""
     at = df.filter(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    totals = F.broadcast(at.agg(F.sum("na").alias("n"), F.sum("nb").alias("m")))  # one row
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    steps = at.crossJoin(totals).withColumn("d", F.abs(F.sum("na").over(upto) / F.col("n") - F.sum("nb").over(upto) / F.col("m")))
-    return steps.groupBy("n", "m").agg(F.max("d").alias("d")).select("d", "n", "m")
+    steps = running(at, value, [], {"a": F.col("na"), "b": F.col("nb")})
+    d = F.abs(F.col("a") / F.col("a_all") - F.col("b") / F.col("b_all"))
+    return steps.agg(F.max(d).alias("d"), F.max("a_all").cast("long").alias("n"), F.max("b_all").cast("long").alias("m"))
+
+
+def ks_p_column(d: Column, n: Column, m: Column) -> Column:
+    """:func:`ks_p_value` as an expression."""
+    en = F.sqrt(n * m / (n + m))
+    x = (en + 0.12 + 0.11 / en) * d
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    return F.when((n == 0) | (m == 0), 0.0).when(x <= 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
+
+
+def similarity(ks: Column, balanced: Column, weight: float = 0.5) -> Column:
+    """Score of a deal of folds: ``weight`` of the likeness of distributions, the rest of the balance of sizes."""
+    return weight * ks + (1 - weight) * balanced
 
 
 def balance(df: DataFrame, fold: str, k: int) -> DataFrame:

@@ -228,7 +228,7 @@ def fold_ids(df: DataFrame, fold: str) -> list:
 def cross_validate(df: DataFrame, features: list[str], label: str, fold: str, weight: str | None = None, source: str | None = None, seed: int = 42) -> DataFrame:
     """(fold, metrics): scores of each fold's model on the rows of that fold, and their mean and std over folds in rows 'mean' and 'std'."""
     preds = [train_fold(df, features, label, fold, k, weight, source, seed)[1].select(F.col(fold).cast("string").alias("fold"), F.col(label).alias("obs"), "pred") for k in fold_ids(df, fold)]
-    per = reduce(DataFrame.unionByName, preds).groupBy("fold").agg(*metrics.regression_metrics())
+    per = metrics.regression_metrics(reduce(DataFrame.unionByName, preds).persist(), ["fold"])  # predictions are read for sums and for ranks
     rows = per.select(F.explode(F.array("fold", F.lit("mean"), F.lit("std"))).alias("fold"), *metrics.METRICS)
     return rows.groupBy("fold").agg(*[F.when(F.col("fold") == "std", F.stddev_samp(m)).otherwise(F.avg(m)).alias(m) for m in metrics.METRICS])
 
@@ -375,7 +375,9 @@ def mean_distance(train: DataFrame, key: str, vector: str, bound: int | None = N
 
 def di_threshold(distances: DataFrame, mean: DataFrame, dist: str = "dist") -> DataFrame:
     """One row: (q75 + 1.5 * iqr) of pooled nearest distances, over the mean distance."""
-    q = distances.agg(F.percentile(dist, F.lit(0.75)).alias("q75"), F.percentile(dist, F.lit(0.25)).alias("q25"))
+    from fieldloom.operators.stats import linear_quantiles
+
+    q = linear_quantiles(distances.select(dist).persist(), [], dist, {"q75": 0.75, "q25": 0.25})  # distances are read for cut points and for ranks
     return q.crossJoin(F.broadcast(mean)).select(((F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))) / F.col("mean_distance")).alias("threshold"))
 
 

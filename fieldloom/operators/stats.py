@@ -60,6 +60,36 @@ def order_statistics(df: DataFrame, by: list[str], value: str, mass: Column, tar
     return join_keys(last, found, by).select(*by, *[F.coalesce(n, "_max").alias(n) for n in targets])
 
 
+def linear_quantiles(df: DataFrame, by: list[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation between neighbouring ranks; ``by`` may be empty. Groups without a value have nulls."""
+    keys = by or ["_one"]
+    df = df if by else df.withColumn("_one", F.lit(1))
+    targets = {}
+    for i, q in enumerate(quantiles.values()):
+        targets[f"_lo{i}"] = lambda total, q=q: F.floor(q * (total - 1)) + 1
+        targets[f"_hi{i}"] = lambda total, q=q: F.ceil(q * (total - 1)) + 1
+    ranks = order_statistics(df.filter(F.col(value).isNotNull()), keys, value, F.lit(1), targets)
+    both = join_keys(df.groupBy(*keys).agg(F.count(value).alias("_n")), ranks, keys)
+    at = lambda i, q: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (q * (F.col("_n") - 1) - F.floor(q * (F.col("_n") - 1)))
+    return both.select(*by, *[at(i, q).alias(n) for i, (n, q) in enumerate(quantiles.items())])
+
+
+def running(df: DataFrame, first: str, order: list[Column], sums: Mapping[str, Column]) -> DataFrame:
+    """``df`` with, for each of ``sums``, the sum over all rows up to each one, and ``{name}_all`` over all rows.
+
+    Rows are in the order of the number ``first``, then of ``order``. Ranges between cut points of ``first``, CUTS + 1 of them,
+    are summed before rows are, so that no task orders all rows."""
+    cuts = sorted(set(df.approxQuantile(first, [(i + 1) / (CUTS + 1) for i in range(CUTS)], 0.005)))
+    cells = df.withColumn("_b", F.when(F.col(first).isNull(), -1).otherwise(_tree(F.col(first), cuts, 0, len(cuts))))
+    per = cells.groupBy("_b").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in sums.items()])
+    rows = F.array_sort(F.collect_list(F.struct("_b", *[f"_s_{n}" for n in sums])))  # a row a range
+    total = lambda n, upto=None: F.aggregate(F.filter("_r", lambda x: F.lit(True) if upto is None else x["_b"] < upto), F.lit(0.0), lambda a, x: a + F.coalesce(x[f"_s_{n}"], F.lit(0)).cast("double"))
+    table = per.agg(rows.alias("_r")).select("_r", F.explode(F.transform("_r", lambda x: x["_b"])).alias("_b")).select("_b", *[total(n, F.col("_b")).alias(f"_p_{n}") for n in sums], *[total(n).alias(f"{n}_all") for n in sums])
+    inside = Window.partitionBy("_b").orderBy(F.col(first), *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cells.join(F.broadcast(table), "_b")
+    return out.select(*df.columns, *[(F.col(f"_p_{n}") + F.sum(v).over(inside)).alias(n) for n, v in sums.items()], *[f"{n}_all" for n in sums])
+
+
 def nearest_quantiles(df: DataFrame, by: list[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """Nearest-rank quantiles: the value at index rint(q * (n - 1)), half to even."""
     return order_statistics(df, by, value, F.lit(1), {n: (lambda total, q=q: F.rint(q * (total - 1)) + 1) for n, q in quantiles.items()})
@@ -133,9 +163,11 @@ def dominant_category(df: DataFrame, key: str, category: str, threshold: float =
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, count, mean, std, min, max, missing) in one aggregation over the unpivoted table, with map-side sums."""
+    """(column, count, mean, std, median, min, max, missing) over the unpivoted table, with map-side sums and exact medians."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
-    return long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.sum(F.col("value").isNull().cast("long")).alias("missing"))
+    median = linear_quantiles(long, ["column"], "value", {"median": 0.5})
+    plain = long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.sum(F.col("value").isNull().cast("long")).alias("missing"))
+    return plain.join(median, "column").select("column", "count", "mean", "std", "median", "min", "max", "missing")
 
 
 def value_shares(df: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo
-from fieldloom.operators import clean, diversity, stats
+from fieldloom.operators import assemble, clean, diversity, stats
 from fieldloom.plans.base import gridded, obs, query, rounded
 from fieldloom.sources.readers import table
 
@@ -106,7 +106,9 @@ def species_mean(spark, sf_dir):
 
 @query("species_median", "WITH {obs} SELECT species, round(quantile_cont(v, 0.5), 4) + 0e0 AS median, round(quantile_cont(price, 0.5), 4) + 0e0 AS price FROM obs GROUP BY species")
 def species_median(spark, sf_dir):
-    return rounded(obs(spark, sf_dir).groupBy("species").agg(F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("price", F.lit(0.5)).alias("price")))
+    both = F.explode(F.array(F.struct(F.lit("median").alias("what"), F.col("v").alias("x")), F.struct(F.lit("price").alias("what"), F.col("price").alias("x"))))
+    per = stats.linear_quantiles(obs(spark, sf_dir).select("species", both.alias("s")).select("species", "s.*"), ["species", "what"], "x", {"m": 0.5})
+    return rounded(assemble.outer_wide(per, ["species"], "what", "m", ["median", "price"]))
 
 
 _PROFILE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -114,10 +116,10 @@ _PROFILE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 @query(
     "column_profile",
-    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) + 0e0 AS mean, round(stddev_samp({c}), 4) + 0e0 AS std, min({c}) AS min, max({c}) AS max, count(*) - count({c}) AS missing FROM lineitem" for c in _PROFILE),
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) + 0e0 AS mean, round(stddev_samp({c}), 4) + 0e0 AS std, round(quantile_cont({c}, 0.5), 4) + 0e0 AS median, min({c}) AS min, max({c}) AS max, count(*) - count({c}) AS missing FROM lineitem" for c in _PROFILE),
 )
 def column_profile(spark, sf_dir):
-    return rounded(stats.column_profile(table(spark, sf_dir, "lineitem"), list(_PROFILE)), 4, "mean", "std")
+    return rounded(stats.column_profile(table(spark, sf_dir, "lineitem"), list(_PROFILE)), 4, "mean", "std", "median")
 
 
 @query("value_shares", "SELECT p_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) + 0e0 AS share FROM part GROUP BY p_type")

@@ -25,7 +25,7 @@ def _r(cols, digits=4):
 
 @query("regression_metrics", f"WITH {_OP}, a AS (SELECT trait, {_METRICS} FROM op GROUP BY trait) SELECT trait, {_r(metrics.METRICS, 3)} FROM a")
 def regression_metrics(spark, sf_dir):
-    return rounded(_predictions(spark, sf_dir).groupBy("trait").agg(*metrics.regression_metrics()), 3)
+    return rounded(metrics.regression_metrics(_predictions(spark, sf_dir), ["trait"]), 3)
 
 
 _FW = ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std" for m in metrics.METRICS)

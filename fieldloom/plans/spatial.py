@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldloom.functions import geo
 from fieldloom.functions.power import pack, unpack
 from fieldloom.operators import metrics, model, raster, variogram
+from fieldloom.operators.stats import running
 from fieldloom.plans.base import gridded, lat_of, lon_of, obs, query, rounded
 from fieldloom.sources.readers import table
 
@@ -274,8 +274,12 @@ def variogram_range(spark, sf_dir):
 
 @query("fold_ntile", 'WITH {obs}, ' + _BASE + ' SELECT "row", "col", ntile(6) OVER (ORDER BY "row", "col") - 1 AS fold FROM g')
 def fold_ntile(spark, sf_dir):
-    """Cells in six nearly equal folds, in key order so that SQL can follow; one row a cell goes through one task."""
-    return _raster(spark, sf_dir).select("row", "col", (F.ntile(6).over(Window.orderBy("row", "col")) - 1).alias("fold"))
+    """Cells in six nearly equal folds, in key order so that SQL can follow."""
+    ranked = running(_raster(spark, sf_dir).select("row", "col"), "row", [F.col("col")], {"r": F.lit(1)})
+    size, more = F.floor(F.col("r_all") / 6), F.col("r_all") % 6  # the first folds have one more
+    at = F.col("r") - 1
+    fold = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return ranked.select("row", "col", fold.cast("int").alias("fold"))
 
 
 @query("fold_balance", "SELECT round(1 / (1 + stddev_pop(n) / avg(n)), 8) + 0e0 AS balance FROM (SELECT i, count(vec_id) AS n FROM range(12) r(i) LEFT JOIN embeddings ON label = i GROUP BY i)")

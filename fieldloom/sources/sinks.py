@@ -54,7 +54,9 @@ def latex(df: DataFrame, most: int = 10_000) -> str:
 
 def nested_metadata(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
     """(outer, json): {inner: {p2, p98}} of values, for map legends."""
-    per = df.groupBy(outer, inner).agg(F.percentile(value, F.lit(0.02)).alias("p2"), F.percentile(value, F.lit(0.98)).alias("p98"))
+    from fieldloom.operators.stats import linear_quantiles
+
+    per = linear_quantiles(df, [outer, inner], value, {"p2": 0.02, "p98": 0.98})
     return per.groupBy(outer).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), F.struct(F.round("p2", 4).alias("p2"), F.round("p98", 4).alias("p98"))))))).alias("json"))
 
 
