@@ -90,6 +90,19 @@ def hex_cell(x: Column, y: Column, edge: float) -> tuple[Column, Column]:
     return F.when(worst_q, -rr - rs).otherwise(rq).cast("long"), F.when(~worst_q & worst_r, -rq - rs).otherwise(rr).cast("long")
 
 
+def hex_polygon(q: Column, r: Column, edge: float) -> Column:
+    """Corners (x, y) of a hexagon of :func:`hex_cell`, anticlockwise from the right one of the upper edge's two."""
+    cx, cy = edge * math.sqrt(3) * (q + r / 2), edge * 1.5 * r
+    corner = lambda k: F.struct((cx + edge * math.cos(math.radians(30 + 60 * k))).alias("x"), (cy + edge * math.sin(math.radians(30 + 60 * k))).alias("y"))
+    return F.array(*[corner(k) for k in range(6)])
+
+
+def hex_outline(q: Column, r: Column, edge: float) -> Column:
+    """The same in degrees, from the equal-area plane."""
+    degrees = lambda p: from_equal_area(p["x"], p["y"])
+    return F.transform(hex_polygon(q, r, edge), lambda p: F.struct(degrees(p)[0].alias("lon"), degrees(p)[1].alias("lat")))
+
+
 def rect_zone(c: Column, low: Column, high: Column, n: int) -> Column:
     """Bin 1 to n of n equal steps from low to high; the highest value belongs to bin n."""
     return F.least(F.floor((c - low) / ((high - low) / (n - 1))) + 1, F.lit(n)).cast("int")

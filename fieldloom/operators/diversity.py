@@ -142,3 +142,12 @@ def functional_diversity(df: DataFrame, plot: str, species: str, abundance: str,
 
     whole = p.dropna(subset=traits).groupBy(plot).agg(F.array_sort(F.collect_list(F.struct(F.col(species).alias("s"), "p", F.array(*[F.col(t).cast("double") for t in traits]).alias("x")))).alias("rows"))
     return whole.mapInPandas(run, f"{plot} {df.schema[plot].dataType.simpleString()}, sp_ric int, f_ric double, f_eve double")
+
+
+def fd_metrics(df: DataFrame, plot: str, species: str, abundance: str | None, traits: list[str]) -> DataFrame:
+    """(plot, sp_ric, f_ric, f_eve, f_div, f_red) of each plot in one row; without an abundance, rows of a species count."""
+    rows = df.withColumn("_one", F.lit(1.0)) if abundance is None else df
+    own = abundance or "_one"
+    shape = functional_diversity(rows, plot, species, own, traits)
+    spread = dissimilarity(proportions(rows, plot, species, own, traits), plot, species, traits)
+    return join_keys(shape, spread.select(plot, F.col("mpd").alias("f_div"), "f_red"), [plot])

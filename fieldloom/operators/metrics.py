@@ -11,6 +11,10 @@ from fieldloom.functions import geo
 from fieldloom.operators.stats import join_keys, linear_quantiles, running
 
 
+def rmse(obs: str = "obs", pred: str = "pred") -> Column:
+    return F.sqrt(F.avg(F.pow(F.col(obs) - F.col(pred), 2)))
+
+
 def regression_metrics(df: DataFrame, by: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
     """``by`` and r2, pearsonr, rmse, nrmse (by the 1 to 99 % range of obs), mse, mae, medae."""
     e = F.col(obs) - F.col(pred)

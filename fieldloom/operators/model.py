@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from fieldloom.functions.power import yeo_johnson, yeo_johnson_inverse, yeo_johnson_np
 from fieldloom.operators import metrics
-from fieldloom.operators.stats import seeded
+from fieldloom.operators.stats import linear_quantiles, seeded
 
 # --- column transforms ------------------------------------------------------------------------------
 
@@ -186,10 +186,11 @@ def assign_folds(cells: DataFrame, key: str, size: str, k: int, sims: int) -> Da
     return deals.join(best, "sim", "left_semi").select(key, "fold")
 
 
-def pick_range(table: dict[str, float], custom: float | None = None, strategy: str = "per_trait", trait: str | None = None) -> float:
-    """Blocking range: a custom one, the trait's own, or a summary over all traits."""
+def pick_range(table: dict[str, float], custom: float | None = None, strategy: str = "per_trait", trait: str | None = None, stat: str | None = None) -> float:
+    """Blocking range: a custom one, else that of ``stat`` (an older setting, a summary over all traits), else the trait's own or a summary, by ``strategy``."""
     if custom is not None:
         return custom
+    strategy = stat or strategy
     if strategy == "per_trait":
         if trait not in table:
             raise ValueError(f"no range for trait {trait!r}")
@@ -243,10 +244,24 @@ def predict(model, df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing values by the column's median."""
-    from pyspark.ml.feature import Imputer
-
-    return Imputer(strategy="median", inputCols=columns, outputCols=columns).fit(df).transform(df)
+    """Missing values by the column's exact median; a column without values stays empty."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)])).alias("_s")).select("_s.*")
+    per = linear_quantiles(long, ["_c"], "_x", {"_m": 0.5})
+    one = F.broadcast(per.agg(*[F.max(F.when(F.col("_c") == i, F.col("_m"))).alias(f"_m{i}") for i in range(len(columns))]))  # one row
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_m{i}")).alias(c) for i, c in enumerate(columns)}
+    return df.crossJoin(one).select(*[filled.get(c, F.col(c)) for c in df.columns])
+
+
+def impute_by_model(df: DataFrame, columns: list[str], features: list[str], seed: int = 42) -> DataFrame:
+    """Missing values of each of ``columns`` by trees over the other columns ``features``, fitted on the rows that have it; gaps in features are filled by medians for that."""
+    if both := set(columns) & set(features):
+        raise ValueError(f"columns that are features too: {sorted(both)}")
+    whole = [f"_f{i}" for i in range(len(features))]
+    out = impute(df.select("*", *[F.col(f).cast("double").alias(n) for f, n in zip(features, whole)]), whole)
+    for c in columns:
+        fitted = train_full(out.filter(F.col(c).isNotNull()), whole, c, seed=seed)
+        out = predict(fitted, out, whole).withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("pred"))).select(*df.columns, *whole)
+    return out.select(*df.columns)
 
 
 def permutation_importance(model, df: DataFrame, features: list[str], groups: dict[str, list[str]], label: str, key: str, rounds: int = 3) -> DataFrame:
@@ -254,7 +269,7 @@ def permutation_importance(model, df: DataFrame, features: list[str], groups: di
     with the one-sided p of no rise and the 99 % interval of the mean over rounds.
 
     The shuffle pairs rows by their rank under two seeded orders within blocks, so that nothing goes through one task."""
-    base = predict(model, df, features).agg(metrics.regression_metrics(label)[2]).first()[0]
+    base = predict(model, df, features).agg(metrics.rmse(label)).first()[0]
     scores = []
     blocks = F.pmod(F.xxhash64(key), F.lit(16))
     for name, own in groups.items():
@@ -262,7 +277,7 @@ def permutation_importance(model, df: DataFrame, features: list[str], groups: di
             at = df.withColumn("_b", blocks).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(seeded(key, seed=1), key)))
             other = df.select(blocks.alias("_b"), F.row_number().over(Window.partitionBy(blocks).orderBy(seeded(key, seed=1000 + r), key)).alias("_i"), *own)
             mixed = at.drop(*own).join(other, ["_b", "_i"])
-            scores.append((name, float(predict(model, mixed, features).agg(metrics.regression_metrics(label)[2]).first()[0] - base)))
+            scores.append((name, float(predict(model, mixed, features).agg(metrics.rmse(label)).first()[0] - base)))
     stats = [(name, *metrics.one_sided([d for n, d in scores if n == name])) for name in groups]
     return df.sparkSession.createDataFrame(stats, "feature string, importance double, stddev double, n long, p_value double, p99_low double, p99_high double")
 
@@ -375,13 +390,11 @@ def mean_distance(train: DataFrame, key: str, vector: str, bound: int | None = N
 
 def di_threshold(distances: DataFrame, mean: DataFrame, dist: str = "dist") -> DataFrame:
     """One row: (q75 + 1.5 * iqr) of pooled nearest distances, over the mean distance."""
-    from fieldloom.operators.stats import linear_quantiles
-
     q = linear_quantiles(distances.select(dist).persist(), [], dist, {"q75": 0.75, "q25": 0.25})  # distances are read for cut points and for ranks
     return q.crossJoin(F.broadcast(mean)).select(((F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))) / F.col("mean_distance")).alias("threshold"))
 
 
-def applicability(distances: DataFrame, mean: DataFrame, threshold: DataFrame) -> DataFrame:
-    """Adds di and aoa, where aoa is true OUTSIDE of the area."""
+def applicability(distances: DataFrame, mean: DataFrame, threshold: DataFrame, inverted: bool = False) -> DataFrame:
+    """Adds di and aoa, where aoa is true OUTSIDE of the area; ``inverted``: inside of it, as some analyses have it. The two are not to be mixed."""
     one = F.broadcast(mean.crossJoin(F.broadcast(threshold)))  # one row
-    return distances.crossJoin(one).withColumn("di", F.col("dist") / F.col("mean_distance")).withColumn("aoa", F.col("di") > F.col("threshold")).drop("mean_distance", "threshold")
+    return distances.crossJoin(one).withColumn("di", F.col("dist") / F.col("mean_distance")).withColumn("aoa", F.col("di") <= F.col("threshold") if inverted else F.col("di") > F.col("threshold")).drop("mean_distance", "threshold")

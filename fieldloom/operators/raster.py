@@ -119,6 +119,12 @@ def fill_all_nearest(df: DataFrame, holes: DataFrame, value: str, reach: int = 4
         done, reach = reach, 2 * reach
 
 
+def fill_flags(df: DataFrame, flag: str) -> DataFrame:
+    """Cells (row, col, flag): values other than 0 and 1 are holes, and each hole has the flag of the nearest cell with one."""
+    clean = df.select("row", "col", F.when(F.col(flag).isin(0, 1), F.col(flag)).alias(flag))
+    return clean.filter(F.col(flag).isNotNull()).unionByName(fill_all_nearest(clean, clean.filter(F.col(flag).isNull()), flag))
+
+
 def lookup_class(points: DataFrame, classes: DataFrame, column: str, default: int = 0) -> DataFrame:
     """Class of each point's (row, col); outside of the raster, ``default``."""
     return points.join(classes.select("row", "col", column), ["row", "col"], "left").withColumn(column, F.coalesce(column, F.lit(default)))

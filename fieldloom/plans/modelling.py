@@ -51,13 +51,6 @@ def area_weighted_r(spark, sf_dir):
     return rounded(df.groupBy("trait").agg(metrics.weighted_pearson(F.col("obs"), F.col("pred"), F.col("w")).alias("r")), 5)
 
 
-@query("ellipsoidal_area_r")
-def ellipsoidal_area_r(spark, sf_dir):
-    """The same with areas of one-degree cells on the ellipsoid."""
-    df = _predictions(spark, sf_dir).withColumn("w", metrics.area_weight(F.col("lat"), 1.0))
-    return rounded(df.groupBy("trait").agg(metrics.weighted_pearson(F.col("obs"), F.col("pred"), F.col("w")).alias("r")), 5)
-
-
 def _coverage(spark, sf_dir, df):
     known = table(spark, sf_dir, "part").filter("p_size > 40").select(F.col("p_name").alias("species"), F.lit(True).alias("hit")).distinct()
     df = df.join(known, "species", "left")
@@ -233,7 +226,13 @@ def impute_median(spark, sf_dir):
     return model.impute(h, ["price"]).agg(F.count(F.lit(1)).alias("n"), F.count("price").alias("filled"))
 
 
-@query("column_types")
+def _type_sql(c: str, kind: str) -> str:
+    steps = " ".join(f"WHEN -{2**b} < min({c}) AND max({c}) < {2**b - 1} THEN '{t}'" for t, b in (("tinyint", 7), ("smallint", 15), ("int", 31)))
+    whole = f"WHEN bool_or({c} <> round_even({c}, 0)) THEN '{kind}' " if kind == "double" else ""
+    return f"SELECT '{c}' AS name, CASE {whole}{steps} ELSE 'bigint' END AS type FROM part"
+
+
+@query("column_types", " UNION ALL ".join([_type_sql(c, k) for c, k in (("p_partkey", "bigint"), ("p_size", "int"), ("p_retailprice", "double"))] + [f"SELECT '{c}', CASE WHEN count(DISTINCT {c}) < 0.5 * count(*) THEN 'category' ELSE 'string' END FROM part" for c in ("p_name", "p_brand", "p_type")]))
 def column_types(spark, sf_dir):
     """The smallest type for each column of part."""
     types = stats.optimal_types(table(spark, sf_dir, "part"), 0.5)

@@ -304,7 +304,7 @@ def test_folds_and_models(spark):
         model.pick_range({"a": 1.0}, trait="z")
     df = spark.range(300).select("id", (F.col("id") % 13).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 13 * 2.0).alias("y"), (F.col("id") % 3).cast("int").alias("fold"), F.when(F.col("id") % 2 == 0, "s").otherwise("g").alias("source"))
     m, pred = model.train_fold(df, ["a", "b"], "y", "fold", 0, source="source")
-    assert pred.count() == 50 and one(pred.agg(metrics.regression_metrics("y")[0]))["r2"] > 0.9
+    assert pred.count() == 50 and one(metrics.regression_metrics(pred, [], "y"))["r2"] > 0.9
     imp = {r["feature"]: r["importance"] for r in model.permutation_importance(m, df, ["a", "b"], {"a": ["a"], "b": ["b"]}, "y", "id", 2).collect()}
     assert imp["a"] > imp["b"]
 
@@ -411,3 +411,81 @@ def test_config_and_results(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(0.5, "X1", "3"), (0.5, "X2", "3")]
     folds = readers.read_folds(spark, str(tmp_path / "r" / "*"))
     assert {r["fold"] for r in folds.collect()} == {3}
+
+
+# --- exact quantiles and running sums ---------------------------------------------------------------
+
+
+def test_linear_quantiles_and_running_sums(spark):
+    """Against numpy, with ties, nulls, empty groups and a group that holds most rows."""
+    from fieldloom.operators.stats import linear_quantiles, running
+
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v) if v >= 0 else None) for g, v in zip(rng.choice([0, 0, 0, 0, 1, 2], 3000), rng.choice([*range(-1, 40), 1e6], 3000))] + [(7, None), (8, 5.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    qs = {"a": 0.0, "b": 0.13, "c": 0.5, "d": 0.97, "e": 1.0}
+    for r in linear_quantiles(df, ["g"], "v", qs).collect():
+        own = [v for g, v in rows if g == r["g"] and v is not None]
+        for n, q in qs.items():
+            assert r[n] is None if not own else math.isclose(r[n], np.quantile(own, q), rel_tol=1e-12, abs_tol=1e-12)
+    whole = linear_quantiles(df, [], "v", qs).first()
+    assert all(math.isclose(whole[n], np.quantile([v for _, v in rows if v is not None], q), abs_tol=1e-12) for n, q in qs.items())
+    keyed = [(i, float(v)) for i, v in enumerate(rng.choice(50, 900))]
+    got = {r["i"]: (r["s"], r["n"], r["s_all"], r["n_all"]) for r in running(spark.createDataFrame(keyed, "i int, v double"), "v", [F.col("i")], {"s": F.col("v"), "n": F.lit(1)}).collect()}
+    total = 0.0
+    for n, (i, v) in enumerate(sorted(keyed, key=lambda r: (r[1], r[0])), 1):
+        total += v
+        assert got[i] == (total, n, sum(v for _, v in keyed), 900)
+
+
+def test_ks_p_column(spark):
+    from fieldloom.operators import metrics
+
+    cases = [(0.0, 5, 5), (0.1, 50, 70), (0.4, 30, 20), (1.0, 9, 9), (0.3, 0, 4)]
+    got = spark.createDataFrame([(float(d), float(n), float(m)) for d, n, m in cases], "d double, n double, m double").select(metrics.ks_p_column(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()
+    assert all(math.isclose(r["p"], metrics.ks_p_value(*c), abs_tol=1e-12) for r, c in zip(got, cases))
+
+
+def test_outline_of_hexagons(spark):
+    from fieldloom.functions import geo
+
+    row = spark.range(1).select(geo.hex_polygon(F.lit(2), F.lit(-1), 10.0).alias("p"), geo.hex_outline(F.lit(2), F.lit(-1), 10_000.0).alias("d")).first()
+    centre = (10 * math.sqrt(3) * 1.5, -15.0)
+    assert len(row["p"]) == 6 and all(math.isclose(math.hypot(p["x"] - centre[0], p["y"] - centre[1]), 10.0) for p in row["p"])
+    assert all(abs(p["lon"]) < 1 and abs(p["lat"]) < 1 for p in row["d"])
+
+
+def test_imputation_by_model(spark):
+    from fieldloom.operators import model
+
+    rows = [(i, float(i % 30), float(i % 7) if i % 11 else None, None if i % 5 == 0 else 3.0 * (i % 30)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y double")
+    got = {r["k"]: r for r in model.impute_by_model(df, ["y"], ["a", "b"]).collect()}
+    assert len(got) == 600 and all(got[k]["b"] == b for k, _, b, _ in rows)  # gaps in features stay
+    assert all(got[k]["y"] == y for k, _, _, y in rows if y is not None) and np.mean([abs(got[k]["y"] - 3.0 * a) for k, a, _, y in rows if y is None]) < 3
+    with pytest.raises(ValueError):
+        model.impute_by_model(df, ["y"], ["y", "a"])
+
+
+def test_all_diversity_indices_in_a_row(spark):
+    from fieldloom.operators import diversity
+
+    rows = [("p", s, 1.0, float(x), float(y)) for s, x, y in (("a", 0, 0), ("b", 1, 0), ("c", 0, 1), ("d", 1, 1))] + [("q", "a", 2.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "plot string, s string, w double, x double, y double")
+    for abundance in ("w", None):
+        got = {r["plot"]: r for r in diversity.fd_metrics(df, "plot", "s", abundance, ["x", "y"]).collect()}
+        assert got["p"]["sp_ric"] == 4 and math.isclose(got["p"]["f_ric"], 1.0) and math.isclose(got["p"]["f_div"], 0.42677669529663687 / 0.75) and math.isclose(got["p"]["f_red"], 1 - got["p"]["f_div"])
+        assert got["q"]["sp_ric"] == 1 and got["q"]["f_ric"] is None and got["q"]["f_div"] is None
+
+
+def test_reports_are_whole(spark):
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(30).toDF("k"), "T", 29)
+    assert len(sinks.markdown(spark.range(300).toDF("k"), "T").split("\n")) == 304
+
+
+def test_range_settings():
+    from fieldloom.operators import model
+
+    table = {"a": 2.0, "b": 4.0, "c": 9.0}
+    assert model.pick_range(table, 7.0, stat="max") == 7.0 and model.pick_range(table, stat="max") == 9.0 and model.pick_range(table, trait="b") == 4.0 and model.pick_range(table, strategy="median") == 4.0
