@@ -72,22 +72,19 @@ def cwm_plot_stats(spark, sf_dir):
     return rounded(stats.community_stats(obs(spark, sf_dir), "plot", "v", "w"), 4, "mean", "std", *stats.WEIGHTED)
 
 
-@query(
-    "plot_stats_to_grid",
-    """WITH {obs}, p AS (SELECT plot, sum(w * v) / sum(w) AS mean, sum(w) AS pw, min(lon) AS lon, min(lat) AS lat FROM obs GROUP BY plot)
-SELECT trunc((90 - lat) / 10e0)::INT AS "row", trunc((lon + 180) / 10e0)::INT AS "col", round(sum(pw * mean) / sum(pw), 4) + 0e0 AS mean, count(*) AS count FROM p GROUP BY 1, 2""",
-)
-def plot_stats_to_grid(spark, sf_dir):
-    """Plot means carried to grid cells, weighted by plot."""
-    from fieldloom.operators.raster import with_cells
-
-    plots = obs(spark, sf_dir).groupBy("plot").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"), F.sum("w").alias("pw"), F.min("lon").alias("lon"), F.min("lat").alias("lat"))
-    cells = with_cells(plots, "lon", "lat", 10.0).groupBy("row", "col").agg((F.sum(F.col("pw") * F.col("mean")) / F.sum("pw")).alias("mean"), F.count(F.lit(1)).alias("count"))
-    return rounded(cells, 4, "mean")
+def _carried_sql() -> str:
+    qs = ", ".join(f"min(v) FILTER (cw >= {q} * tot) AS {n}" for n, q in stats.WEIGHTED.items())
+    means = ", ".join(f"round(sum(pw * {n}) / sum(pw) FILTER ({n} IS NOT NULL), 4) + 0e0 AS {n}" for n in ("mean", "std", *stats.WEIGHTED))
+    return f"""
+WITH {{obs}},
+c AS (SELECT plot, v, w, sum(w) OVER (PARTITION BY plot ORDER BY v) AS cw, sum(w) OVER (PARTITION BY plot) AS tot, sum(w * v) OVER (PARTITION BY plot) / sum(w) OVER (PARTITION BY plot) AS mu FROM obs),
+a AS (SELECT plot, any_value(mu) AS mean, sqrt(sum(w * (v - mu) * (v - mu)) / sum(w)) AS std, {qs} FROM c GROUP BY plot),
+p AS (SELECT plot, sum(w) AS pw, min(lon) AS lon, min(lat) AS lat FROM obs GROUP BY plot)
+SELECT trunc((90 - lat) / 10e0)::INT AS "row", trunc((lon + 180) / 10e0)::INT AS "col", {means}, count(*) AS count FROM a JOIN p USING (plot) GROUP BY 1, 2"""
 
 
-@query("plot_stats_to_grid_all")
-def plot_stats_to_grid_all(spark, sf_dir):
+@query("plot_stats_to_grid", _carried_sql())
+def plot_stats_to_grid(spark, sf_dir):
     """All nine statistics of plots carried to grid cells, each as a mean weighted by plot."""
     from fieldloom.operators.raster import with_cells
 

@@ -57,15 +57,9 @@ def _coverage(spark, sf_dir, df):
     return rounded(df.groupBy("pft").agg(F.count(F.lit(1)).alias("n_before"), F.count("hit").alias("n_after"), F.countDistinct("species").alias("species_before"), F.countDistinct(F.when(F.col("hit"), F.col("species"))).alias("species_after"), (100 * F.count("hit") / F.count(F.lit(1))).alias("percent")))
 
 
-@query("trait_coverage", "WITH {obs}, k AS (SELECT DISTINCT p_name AS species FROM part WHERE p_size > 40), a AS (SELECT pft, species, v, species IN (SELECT species FROM k) AS hit FROM obs WHERE species_key % 4 <> 0) SELECT pft, count(*) AS n_before, count(*) FILTER (hit) AS n_after, count(DISTINCT species) AS species_before, count(DISTINCT species) FILTER (hit) AS species_after, round(100 * count(*) FILTER (hit) / count(*), 4) + 0e0 AS percent FROM a GROUP BY pft")
+@query("trait_coverage", "WITH {obs}, k AS (SELECT DISTINCT p_name AS species FROM part WHERE p_size > 40), a AS (SELECT pft, species, v, species IN (SELECT species FROM k) AS hit FROM obs) SELECT pft, count(*) AS n_before, count(*) FILTER (hit) AS n_after, count(DISTINCT species) AS species_before, count(DISTINCT species) FILTER (hit) AS species_after, round(100 * count(*) FILTER (hit) / count(*), 4) + 0e0 AS percent FROM a GROUP BY pft")
 def trait_coverage(spark, sf_dir):
     """Observations and species before and after a match, in one aggregation over a flag."""
-    return _coverage(spark, sf_dir, obs(spark, sf_dir).filter("species_key % 4 <> 0"))
-
-
-@query("trait_coverage_all", "WITH {obs}, k AS (SELECT DISTINCT p_name AS species FROM part WHERE p_size > 40), a AS (SELECT pft, species, v, species IN (SELECT species FROM k) AS hit FROM obs) SELECT pft, count(*) AS n_before, count(*) FILTER (hit) AS n_after, count(DISTINCT species) AS species_before, count(DISTINCT species) FILTER (hit) AS species_after, round(100 * count(*) FILTER (hit) / count(*), 4) + 0e0 AS percent FROM a GROUP BY pft")
-def trait_coverage_all(spark, sf_dir):
-    """The same over all observations."""
     return _coverage(spark, sf_dir, obs(spark, sf_dir))
 
 

@@ -86,16 +86,9 @@ def rect_zones(spark, sf_dir):
     return p.crossJoin(ends).select("p_partkey", geo.rect_zone(F.col("lon"), F.col("a"), F.col("b"), 10).alias("zx"), geo.rect_zone(F.col("lat"), F.col("c"), F.col("d"), 5).alias("zy"))
 
 
-@query("antimeridian", "WITH {obs} SELECT species, bool_or(lon > 150) AND bool_or(lon < -150) AS crosses FROM obs WHERE species_key % 10 = 0 GROUP BY species")
+@query("antimeridian", "WITH {obs} SELECT species, bool_or(lon > 150) AND bool_or(lon < -150) AS crosses FROM obs GROUP BY species")
 def antimeridian(spark, sf_dir):
     """Whether a species' extreme longitudes lie on both sides: the predicate on an array of two."""
-    ends = obs(spark, sf_dir).filter("species_key % 10 = 0").groupBy("species").agg(F.array(F.min("lon"), F.max("lon")).alias("lons"))
-    return ends.select("species", geo.crosses_antimeridian(F.col("lons")).alias("crosses"))
-
-
-@query("antimeridian_all", "WITH {obs} SELECT species, bool_or(lon > 150) AND bool_or(lon < -150) AS crosses FROM obs GROUP BY species")
-def antimeridian_all(spark, sf_dir):
-    """The same over all species keys."""
     ends = obs(spark, sf_dir).groupBy("species").agg(F.array(F.min("lon"), F.max("lon")).alias("lons"))
     return ends.select("species", geo.crosses_antimeridian(F.col("lons")).alias("crosses"))
 
@@ -174,19 +167,9 @@ def pack_uint8(spark, sf_dir):
 
 @query(
     "nearest_fill",
-    "WITH {obs}, " + _BASE + ', h AS (SELECT r.i AS hr, c.i AS hc FROM range(18) r(i), range(36) c(i)), o AS (SELECT hr, hc FROM h WHERE NOT EXISTS (SELECT 1 FROM g WHERE g."row" = hr AND g."col" = hc)) SELECT hr::INT AS "row", hc::INT AS "col", n FROM (SELECT hr, hc, n, row_number() OVER (PARTITION BY hr, hc ORDER BY (g."row" - hr) * (g."row" - hr) + (g."col" - hc) * (g."col" - hc), g."row", g."col") AS k FROM o JOIN g ON (g."row" - hr) * (g."row" - hr) + (g."col" - hc) * (g."col" - hc) <= 16) WHERE k = 1',
-)
-def nearest_fill(spark, sf_dir):
-    r = _raster(spark, sf_dir).select("row", "col", "n")
-    holes = raster.global_grid(spark, 10.0).select("row", "col").join(r, ["row", "col"], "left_anti")
-    return raster.fill_nearest(r, holes, "n", 4)
-
-
-@query(
-    "nearest_fill_all",
     "WITH {obs}, " + _BASE + ', h AS (SELECT r.i AS hr, c.i AS hc FROM range(18) r(i), range(36) c(i)), o AS (SELECT hr, hc FROM h WHERE NOT EXISTS (SELECT 1 FROM g WHERE g."row" = hr AND g."col" = hc)) SELECT hr::INT AS "row", hc::INT AS "col", n FROM (SELECT hr, hc, n, row_number() OVER (PARTITION BY hr, hc ORDER BY (g."row" - hr) * (g."row" - hr) + (g."col" - hc) * (g."col" - hc), g."row", g."col") AS k FROM o JOIN g ON true) WHERE k = 1',
 )
-def nearest_fill_all(spark, sf_dir):
+def nearest_fill(spark, sf_dir):
     """Every hole, however far from data."""
     r = _raster(spark, sf_dir).select("row", "col", "n")
     holes = raster.global_grid(spark, 10.0).select("row", "col").join(r, ["row", "col"], "left_anti")

@@ -40,8 +40,8 @@ def test_whole_of_observations(spark):
     from fieldloom.plans.base import obs
 
     o, q = obs(spark, SF), catalogue.QUERIES
-    assert q["antimeridian_all"](spark, SF).count() == o.select("species").distinct().count()
-    got = {r["pft"]: (r["n_before"], r["species_before"]) for r in q["trait_coverage_all"](spark, SF).collect()}
+    assert q["antimeridian"](spark, SF).count() == o.select("species").distinct().count()
+    got = {r["pft"]: (r["n_before"], r["species_before"]) for r in q["trait_coverage"](spark, SF).collect()}
     assert got == {r[0]: (r[1], r[2]) for r in o.groupBy("pft").agg(F.count(F.lit(1)), F.countDistinct("species")).collect()}
 
 
@@ -52,9 +52,7 @@ def test_all_plot_statistics_on_the_grid(spark):
 
     names = ("mean", "std", *stats.WEIGHTED)
     q = catalogue.QUERIES
-    got = {(r["row"], r["col"]): r for r in q["plot_stats_to_grid_all"](spark, SF).collect()}
-    mean = {(r["row"], r["col"]): (r["mean"], r["count"]) for r in q["plot_stats_to_grid"](spark, SF).collect()}
-    assert {k: (r["mean"], r["count"]) for k, r in got.items()} == mean
+    got = {(r["row"], r["col"]): r for r in q["plot_stats_to_grid"](spark, SF).collect()}
     places = gridded(spark, SF).groupBy("plot").agg(F.sum("w").alias("pw"), F.min("lon").alias("lon"), F.min("lat").alias("lat")).toPandas().set_index("plot")
     plots = q["cwm_plot_stats"](spark, SF).toPandas().set_index("plot").join(places)
     plots["row"], plots["col"] = ((90 - plots["lat"]) / 10).astype(int), ((plots["lon"] + 180) / 10).astype(int)
