@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import names
-from fieldloom.operators.stats import dominant_category, join_keys, linear_quantiles
+from fieldloom.operators.stats import dominant_category, join_keys, linear_quantiles, running
 
 
 def filter_types(df: DataFrame, column: str, wanted: str, valid: set[str]) -> DataFrame:
@@ -148,15 +148,9 @@ def source_weights(df: DataFrame, source: str = "source") -> DataFrame:
 
 
 def holdout(df: DataFrame, of: Column, share: float, key: Column) -> DataFrame:
-    """Adds is_test: exactly floor(share * n) of the rows ``of`` describes, the first in the order of ``key``.
-
-    The cut-off key comes from a top-k over keys alone, so no global sort or one-task window is needed."""
-    n = df.filter(of).count()
-    k = int(n * share)
-    if not k:
-        return df.withColumn("is_test", F.lit(False))
-    from fieldloom.operators.stats import order_statistics
-
-    keyed = df.withColumn("_key", key)
-    cut = order_statistics(keyed.filter(of).withColumn("_one", F.lit(1)), ["_one"], "_key", F.lit(1), {"cut": lambda _: F.lit(k)}).select("cut")
-    return keyed.crossJoin(F.broadcast(cut)).withColumn("is_test", F.coalesce(of & (F.col("_key") <= F.col("cut")), F.lit(False))).drop("_key", "cut")
+    """Adds is_test: exactly floor(share * n) of the rows ``of`` describes, the first in the order of the number ``key``, equal keys in the order of a hash of the row.
+
+    Ranks come from sums over ranges of the key, so no global sort or one-task window is needed."""
+    names, own = df.columns, F.coalesce(of, F.lit(False))
+    ranked = running(df.select("*", key.alias("_key"), own.alias("_of")), "_key", [F.xxhash64(*names)], {"_r": F.col("_of").cast("int")})
+    return ranked.select(*names, (F.col("_of") & (F.col("_r") <= F.floor(share * F.col("_r_all")))).alias("is_test"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from fieldloom.functions.power import yeo_johnson, yeo_johnson_inverse, yeo_johnson_np
 from fieldloom.operators import metrics
-from fieldloom.operators.stats import linear_quantiles, seeded
+from fieldloom.operators.stats import linear_quantiles, seeded, shuffled
 
 # --- column transforms ------------------------------------------------------------------------------
 
@@ -180,8 +180,8 @@ def assign_folds(cells: DataFrame, key: str, size: str, k: int, sims: int) -> Da
 
     Only cells take part, one row each with its number of rows."""
     deals = cells.select(key, size).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    deals = deals.withColumn("fold", F.ntile(k).over(Window.partitionBy("sim").orderBy(F.xxhash64(key, "sim"), key)) - 1)
-    per = deals.groupBy("sim", "fold").agg(F.sum(size).alias("n")).groupBy("sim").agg((1 / (1 + F.stddev_pop("n") / F.avg("n"))).alias("score"))
+    deals = deals.withColumn("fold", F.ntile(k).over(Window.partitionBy("sim").orderBy(shuffled(key, "sim"), key)) - 1)
+    per = deals.groupBy("sim", "fold").agg(F.sum(size).alias("n")).groupBy("sim").agg(F.round(1 / (1 + F.stddev_pop("n") / F.avg("n")), 12).alias("score"))
     best = F.broadcast(per.agg(F.max_by("sim", F.struct("score", (-F.col("sim")).alias("s"))).alias("sim")))  # one row
     return deals.join(best, "sim", "left_semi").select(key, "fold")
 

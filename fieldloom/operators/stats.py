@@ -150,6 +150,11 @@ def seeded(*columns: Column | str, seed: int = 42) -> Column:
     return F.xxhash64(*columns, F.lit(seed))
 
 
+def shuffled(*columns: Column | str, seed: int = 42) -> Column:
+    """The same as a number below 2**60 that any SQL engine can follow: the head of an MD5 over the values and the seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns], F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
 def community_stats(df: DataFrame, plot: str, trait: str, abundance: str, quantiles: Mapping[str, float] = WEIGHTED) -> DataFrame:
     """Community-weighted statistics of each plot, weights renormalised over its rows with a trait value."""
     return weighted_stats(df.filter(F.col(trait).isNotNull()), [plot], trait, abundance, quantiles).drop("count_weighted")

@@ -227,12 +227,12 @@ def exact_holdout(spark, sf_dir):
     return clean.holdout(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", 0.1, F.col("o_orderkey")).select("o_orderkey", "is_test")
 
 
-@query("hash_holdout")
+@query("hash_holdout", "WITH o AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ('0x' || substr(md5(concat_ws(':', o_orderkey, '42')), 1, 15))::BIGINT) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT o_orderkey, o_orderstatus = 'F' AND r <= floor(n * 0.1) AS is_test FROM o")
 def hash_holdout(spark, sf_dir):
     """The same with a seeded order."""
-    from fieldloom.operators.stats import seeded
+    from fieldloom.operators.stats import shuffled
 
-    return clean.holdout(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", 0.1, seeded("o_orderkey")).select("o_orderkey", "is_test")
+    return clean.holdout(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", 0.1, shuffled("o_orderkey")).select("o_orderkey", "is_test")
 
 
 @query("nested_json", "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geo
 from fieldloom.functions.names import two_lines as broken
-from fieldloom.operators import diversity, metrics, model, raster, variogram
+from fieldloom.operators import diversity, metrics, model, raster, stats, variogram
 from fieldloom.plans.base import gridded, obs, query, rounded
 from fieldloom.plans.modelling import _DBAR, _E, _NN, _T, _emb, _predictions, _train
-from fieldloom.plans.spatial import _VG, _vectors
+from fieldloom.plans.spatial import _BASE, _VG, _q_sql, _raster, _vectors
 from fieldloom.sources.readers import table
 
 _KS = (
@@ -179,9 +179,54 @@ t AS (SELECT *, sinh(atanh(s) - {c!r} * atanh({c!r} * s)) AS t FROM s), k AS (SE
 SELECT p_partkey, round(500000 + {0.9996 * radius!r} * (eta + {east}), 3) + 0e0 AS easting, round(CASE WHEN lat < 0 THEN 1e7 ELSE 0e0 END + {0.9996 * radius!r} * (xi + {north}), 3) + 0e0 AS northing FROM k"""
 
 
-@query("utm_easting_northing", _utm_sql())
-def utm_easting_northing(spark, sf_dir):
+@query("utm_coordinates", _utm_sql())
+def utm_coordinates(spark, sf_dir):
     """Coordinates in each point's own zone."""
     p = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 37 % 36000) / 100.0 - 180.0).alias("lon"), (F.col("p_size") * 3 % 160 - 79.5).cast("double").alias("lat"))
     e, n = geo.to_utm(F.col("lon"), F.col("lat"))
     return rounded(p.select("p_partkey", e.alias("easting"), n.alias("northing")), 3)
+
+
+# --- seeded choices ---------------------------------------------------------------------------------
+
+
+def _hex_sql(edge: float) -> str:
+    """The view ``hx``: obs with its hexagons."""
+    return f"""e AS (SELECT *, radians(lon) * {geo.A * geo.K0!r} AS ex, {_q_sql('sin(radians(lat))')} * {geo.A / (2 * geo.K0)!r} AS ey FROM obs),
+fa AS (SELECT *, ({math.sqrt(3) / 3!r} * ex - ey / 3) / {edge!r} AS q0, ({2 / 3!r} * ey) / {edge!r} AS r0 FROM e),
+fb AS (SELECT *, round_even(q0, 0) AS rq, round_even(r0, 0) AS rr, round_even(-q0 - r0, 0) AS rs FROM fa),
+fc AS (SELECT *, abs(rq - q0) AS dq, abs(rr - r0) AS dr, abs(rs - (-q0 - r0)) AS ds FROM fb),
+hx AS (SELECT *, (CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END)::BIGINT AS q, (CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END)::BIGINT AS r FROM fc)"""
+
+
+def _deal_sql(cells: str, key: str, k: int, sims: int) -> str:
+    """The view ``dealt`` (key, fold): the most balanced of seeded deals of ``cells`` (key, n)."""
+    return f"""dl AS (SELECT {key}, n, sim, ntile({k}) OVER (PARTITION BY sim ORDER BY ('0x' || substr(md5(concat_ws(':', {key}, sim, '42')), 1, 15))::BIGINT, {key}) - 1 AS fold FROM {cells}, range({sims}) s(sim)),
+sc AS (SELECT sim, round(1 / (1 + stddev_pop(t) / avg(t)), 12) AS score FROM (SELECT sim, fold, sum(n) AS t FROM dl GROUP BY 1, 2) GROUP BY sim),
+bs AS (SELECT sim FROM sc ORDER BY score DESC, sim LIMIT 1), dealt AS (SELECT {key}, fold::INT AS fold FROM dl WHERE sim = (SELECT sim FROM bs))"""
+
+
+@query("spatial_thinning", f"WITH {{obs}}, {_hex_sql(5e5)} SELECT q, r, plot, species_key, v FROM (SELECT *, row_number() OVER (PARTITION BY q, r ORDER BY ('0x' || substr(md5(concat_ws(':', plot, species_key, org, '42')), 1, 15))::BIGINT, plot, species_key, org, v, w) AS k FROM hx) WHERE k <= 10")
+def spatial_thinning(spark, sf_dir):
+    """A seeded sample of at most 10 rows of each hexagon: a sampling operator."""
+    df = obs(spark, sf_dir)
+    x, y = geo.to_equal_area(F.col("lon"), F.col("lat"))
+    q, r = geo.hex_cell(x, y, 500_000.0)
+    order = [stats.shuffled("plot", "species_key", "org"), *map(F.col, ("plot", "species_key", "org", "v", "w"))]
+    return stats.cap_per_group(df.withColumn("q", q).withColumn("r", r), ["q", "r"], 10, order).select("q", "r", "plot", "species_key", "v")
+
+
+@query("fold_best_of_n", "WITH {obs}, " + _BASE + ', cl AS (SELECT "row" * 36 + "col" AS cell, n FROM g), ' + _deal_sql("cl", "cell", 5, 200) + " SELECT cell, fold FROM dealt")
+def fold_best_of_n(spark, sf_dir):
+    """The most balanced of 200 seeded deals of cells into five folds."""
+    cells = _raster(spark, sf_dir).select((F.col("row") * 36 + F.col("col")).alias("cell"), "n")
+    return model.assign_folds(cells, "cell", "n", 5, 200)
+
+
+@query("hex_folds", f"WITH {{obs}}, {_hex_sql(5e5)}, hc AS (SELECT q, r, count(*) AS n, concat_ws('_', q, r) AS cell FROM hx GROUP BY 1, 2), cl AS (SELECT cell, n FROM hc WHERE n >= 20), " + _deal_sql("cl", "cell", 5, 200) + " SELECT cell, q, r, n, fold FROM hc LEFT JOIN dealt USING (cell)")
+def hex_folds(spark, sf_dir):
+    """Hexagons with their fold, hexagons without one kept."""
+    x, y = geo.to_equal_area(F.col("lon"), F.col("lat"))
+    q, r = geo.hex_cell(x, y, 500_000.0)
+    cells = obs(spark, sf_dir).groupBy(q.alias("q"), r.alias("r")).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.concat_ws("_", "q", "r"))
+    return cells.join(model.assign_folds(cells.filter("n >= 20"), "cell", "n", 5, 200), "cell", "left")

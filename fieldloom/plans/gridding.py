@@ -131,16 +131,6 @@ def group_cap(spark, sf_dir):
     return stats.cap_per_group(df, ["l_suppkey"], 20, [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@query("spatial_thinning")
-def spatial_thinning(spark, sf_dir):
-    """A seeded sample of at most 10 rows of each hexagon."""
-    df = obs(spark, sf_dir)
-    x, y = geo.to_equal_area(F.col("lon"), F.col("lat"))
-    q, r = geo.hex_cell(x, y, 500_000.0)
-    keyed = df.withColumn("q", q).withColumn("r", r)
-    return stats.cap_per_group(keyed, ["q", "r"], 10, [stats.seeded("plot", "species_key", "org", "v", "w")]).select("q", "r", "plot", "species_key", "v")
-
-
 _P = "p AS (SELECT plot, species_key, sum(w) AS a, min(size) AS t1, min(price) AS t2 FROM obs GROUP BY 1, 2), s AS (SELECT *, a / sum(a) OVER (PARTITION BY plot) AS p FROM p)"
 
 

@@ -50,13 +50,6 @@ def utm_zone(spark, sf_dir):
     return _points(spark, sf_dir).select("p_partkey", geo.utm_zone(F.col("lon"), F.col("lat")).alias("zone"))
 
 
-@query("utm_coordinates")
-def utm_coordinates(spark, sf_dir):
-    """Krueger's series; tests hold it against known points."""
-    e, n = geo.to_utm(F.col("lon"), F.col("lat"))
-    return rounded(_points(spark, sf_dir).select("p_partkey", e.alias("easting"), n.alias("northing")), 3)
-
-
 @query(
     "haversine_pairs",
     f"WITH {_PT} SELECT p_partkey, round(2 * {geo.EARTH_RADIUS!r} * asin(sqrt(least(pow(sin(radians(40.7128e0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(40.7128e0)) * pow(sin(radians(-74.006e0 - lon) / 2), 2), 1e0))), 1) + 0e0 AS metres FROM pt",
@@ -270,23 +263,6 @@ def fold_balance(spark, sf_dir):
     return rounded(metrics.balance(table(spark, sf_dir, "embeddings"), "label", 12), 8)
 
 
-@query("fold_best_of_n")
-def fold_best_of_n(spark, sf_dir):
-    """The most balanced of 50 seeded deals of cells into five folds."""
-    cells = _raster(spark, sf_dir).select((F.col("row") * 36 + F.col("col")).alias("cell"), "n")
-    return model.assign_folds(cells, "cell", "n", 5, 50)
-
-
-@query("hex_folds")
-def hex_folds(spark, sf_dir):
-    """Hexagons with their fold, hexagons without one kept."""
-    x, y = geo.to_equal_area(F.col("lon"), F.col("lat"))
-    q, r = geo.hex_cell(x, y, 500_000.0)
-    cells = obs(spark, sf_dir).groupBy(q.alias("q"), r.alias("r")).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.concat_ws("_", "q", "r"))
-    folds = model.assign_folds(cells.filter("n >= 20"), "cell", "n", 5, 20)
-    return cells.join(folds, "cell", "left")
-
-
 @query("harmonise_raster", "WITH {obs}, " + _BASE + f' SELECT r.i::INT AS "row", c.i::INT AS "col", round_even(least(greatest(v, 30000), 50000) / 10, 0)::SMALLINT AS v FROM range(36) r(i) CROSS JOIN range(72) c(i) JOIN g ON g."row" = r.i // 2 AND g."col" = c.i // 2 WHERE ((r.i * 7 + c.i * 3) % 5) + 1 IN (2, 4)')
 def harmonise_raster(spark, sf_dir):
     """Resampled to a finer grid, masked, clipped and cast: one composition."""

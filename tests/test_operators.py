@@ -489,3 +489,10 @@ def test_range_settings():
 
     table = {"a": 2.0, "b": 4.0, "c": 9.0}
     assert model.pick_range(table, 7.0, stat="max") == 7.0 and model.pick_range(table, stat="max") == 9.0 and model.pick_range(table, trait="b") == 4.0 and model.pick_range(table, strategy="median") == 4.0
+
+
+def test_holdout_is_exact_on_ties(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("k"))
+    out = clean.holdout(df, F.col("id") < 700, 0.33, F.col("k")).collect()
+    assert sum(r["is_test"] for r in out) == 231 and all(r["id"] < 700 and r["k"] == 0 for r in out if r["is_test"]) and len(out) == 1000
+    assert not any(r["is_test"] for r in clean.holdout(df, F.col("id") < 0, 0.5, F.col("k")).collect())
