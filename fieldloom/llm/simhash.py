@@ -36,7 +36,7 @@ CAP = 2048
 #: Bits that the masks of two deals leave free, at most.
 DEEP_BITS = 17
 _ALL = (1 << 64) - 1
-_BATCH = 1 << 20  # hashes that meet in one step
+_BATCH = 1 << 18  # hashes that meet in one step
 
 
 def _hashes(text: str | None) -> list[int]:
