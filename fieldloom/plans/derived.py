@@ -210,8 +210,7 @@ bs AS (SELECT sim FROM sc ORDER BY score DESC, sim LIMIT 1), dealt AS (SELECT {k
 def spatial_thinning(spark, sf_dir):
     """A seeded sample of at most 10 rows of each hexagon: a sampling operator."""
     df = obs(spark, sf_dir)
-    x, y = geo.to_equal_area(F.col("lon"), F.col("lat"))
-    q, r = geo.hex_cell(x, y, 500_000.0)
+    q, r = geo.hex_cell_at(F.col("lon"), F.col("lat"), 500_000.0)
     order = [stats.shuffled("plot", "species_key", "org"), *map(F.col, ("plot", "species_key", "org", "v", "w"))]
     return stats.cap_per_group(df.withColumn("q", q).withColumn("r", r), ["q", "r"], 10, order).select("q", "r", "plot", "species_key", "v")
 
@@ -226,7 +225,6 @@ def fold_best_of_n(spark, sf_dir):
 @query("hex_folds", f"WITH {{obs}}, {_hex_sql(5e5)}, hc AS (SELECT q, r, count(*) AS n, concat_ws('_', q, r) AS cell FROM hx GROUP BY 1, 2), cl AS (SELECT cell, n FROM hc WHERE n >= 20), " + _deal_sql("cl", "cell", 5, 200) + " SELECT cell, q, r, n, fold FROM hc LEFT JOIN dealt USING (cell)")
 def hex_folds(spark, sf_dir):
     """Hexagons with their fold, hexagons without one kept."""
-    x, y = geo.to_equal_area(F.col("lon"), F.col("lat"))
-    q, r = geo.hex_cell(x, y, 500_000.0)
-    cells = obs(spark, sf_dir).groupBy(q.alias("q"), r.alias("r")).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.concat_ws("_", "q", "r"))
+    q, r = geo.hex_cell_at(F.col("lon"), F.col("lat"), 500_000.0)
+    cells = obs(spark, sf_dir).select(q.alias("q"), r.alias("r")).groupBy("q", "r").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.concat_ws("_", "q", "r"))
     return cells.join(model.assign_folds(cells.filter("n >= 20"), "cell", "n", 5, 200), "cell", "left")

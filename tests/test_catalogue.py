@@ -59,3 +59,16 @@ def test_all_plot_statistics_on_the_grid(spark):
     for at, g in plots.groupby(["row", "col"]):
         for c in names:
             assert abs(got[at][c] - (g["pw"] * g[c]).sum() / g["pw"].sum()) < 1e-3, (at, c)
+
+
+def test_hexagons_on_the_meridian(spark, tmp_path):
+    """Rows on the meridian of 0, an edge of every other row of hexagons, at all latitudes of the view: as in SQL."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE (18000 AS p_partkey) FROM '{SF}/part.parquet' LIMIT 1) TO '{tmp_path}/part.parquet'")
+    c.sql(f"COPY (SELECT l.* REPLACE (18000 AS l_partkey, i AS l_suppkey) FROM (SELECT * FROM '{SF}/lineitem.parquet' LIMIT 1) l, range(17000) r(i)) TO '{tmp_path}/lineitem.parquet'")
+    for t in ("part", "lineitem"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    for name in ("hex_folds", "spatial_thinning"):
+        assert same(catalogue.QUERIES[name](spark, str(tmp_path)), c.sql(catalogue.ORACLE_SQL[name])), name
