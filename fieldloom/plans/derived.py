@@ -94,7 +94,7 @@ def variogram_log_bins(spark, sf_dir):
 
 @query("variogram_limits", f"WITH {_VG}, {_PAIRS}, n AS (SELECT label, vec_id, min(h) AS h FROM d GROUP BY 1, 2), w AS (SELECT label, 0.7e0 * max(h) AS far FROM d GROUP BY 1), p AS (SELECT label, greatest(quantile_cont(h, 0.01), 0.01e0) AS near FROM n GROUP BY 1) SELECT label, round(far, 6) + 0e0 AS max_distance, round(near, 6) + 0e0 AS min_distance FROM w JOIN p USING (label)")
 def variogram_limits(spark, sf_dir):
-    """Least and greatest distance of a variogram, by groups that lie within the samples' bounds here."""
+    """Least and greatest distance of a variogram, over all points of a label."""
     return rounded(variogram.distance_limits(_vectors(spark, sf_dir), ["label"], "vec_id", "x", "y", 0.01), 6)
 
 
